@@ -198,10 +198,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A text table, spread over the cores.  The driver's files hold one row group,
+    which one task would scan; tables with many row groups need no such step."""
+    return table(spark, sf, name).repartition(spark.sparkContext.defaultParallelism)
+
+
 def view(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A shared view over the documents table."""
     return spark.sql(SHARED[name].replace("FROM documents", "FROM {documents}"),
-                     documents=table(spark, sf, "documents"))
+                     documents=texts(spark, sf, "documents"))
 
 
 def regulation_rows(spark: SparkSession, sf: str) -> DataFrame:

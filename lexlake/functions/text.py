@@ -8,6 +8,8 @@ line feed" and nothing else.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +35,16 @@ def is_upper(c: Column) -> Column:
     return (c == F.upper(c)) & (c != F.lower(c))
 
 
+_LEADING_WORD = re.compile(r"\\b([a-z][a-z ]*[a-z])(?![?*+{])")
+
+
+def word_start_last(pattern: str) -> str:
+    """``\\bword...`` as ``word(?<=\\bword)...``: same matches, but the regex engine can
+    search for the literal first and test the Unicode word boundary only there."""
+    m = _LEADING_WORD.match(pattern)
+    return f"{m[1]}(?<=\\b{m[1]}){pattern[m.end():]}" if m else pattern
+
+
 def count_matches(c: Column, pattern: str, needs: str | None = None) -> Column:
     """Number of non-overlapping matches; ``needs`` is a literal every match
     contains, tested first because a byte search is far cheaper than a regex."""
@@ -57,15 +69,14 @@ def running_total(lengths: Column) -> Column:
 
 
 def match_starts(text: Column, pattern: str) -> Column:
-    """0-based start offset of every match, left to right.
+    """0-based start offset of every match, left to right, then the text length.
 
     A sentinel goes in front of each match; the lengths of the pieces between
     sentinels, summed up, are the offsets.
     """
     clean = F.translate(text, SENTINEL, "\x02")
     pieces = F.split(F.regexp_replace(clean, pattern, SENTINEL + "$0"), SENTINEL)
-    before = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
-    return running_total(F.transform(before, F.length))
+    return running_total(F.transform(pieces, F.length))
 
 
 def match_groups(text: Column, pattern: str, group: int) -> Column:
@@ -81,7 +92,9 @@ def matches(text: Column, pattern: str, groups: dict[str, int]) -> Column:
     cols += [match_groups(text, pattern, g).alias(name) for name, g in groups.items()]
     fields = ", ".join(["pos: int"] + [f"{name}: string" for name in groups])
     empty = F.array().cast(f"array<struct<{fields}>>")
-    return F.when(text.rlike(pattern), F.arrays_zip(*cols)).otherwise(empty)
+    first = next(iter(groups))
+    found = F.filter(F.arrays_zip(*cols), lambda m: m[first].isNotNull())
+    return F.when(text.rlike(pattern), found).otherwise(empty)
 
 
 def before_first(c: Column, sep: str) -> Column:

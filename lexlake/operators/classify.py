@@ -34,7 +34,7 @@ def label_counts(hay: Column) -> dict[str, Column]:
     """Raw number of matches per label."""
     return {
         rule.label: sum(
-            (T.count_matches(hay, "(?U)" + p.regex, p.needs) for p in rule.patterns), F.lit(0)
+            (T.count_matches(hay, "(?U)" + T.word_start_last(p.regex), p.needs) for p in rule.patterns), F.lit(0)
         )
         for rule in R.LABEL_RULES
     }
@@ -99,7 +99,7 @@ def severity(sections: DataFrame) -> DataFrame:
     hay = F.col(_HAY)
     hits = {
         level: sum(
-            (T.has_match(hay, "(?Ud)" + p.regex, p.needs).cast("int") for p in patterns), F.lit(0)
+            (T.has_match(hay, "(?Ud)" + T.word_start_last(p.regex), p.needs).cast("int") for p in patterns), F.lit(0)
         )
         for level, patterns in R.SEVERITY_RULES.items()
     }
@@ -126,7 +126,7 @@ def operational_areas(hay: Column) -> Column:
     for area, patterns in R.AREA_RULES.items():
         hit = F.lit(False)
         for p in patterns:
-            hit = hit | T.has_match(hay, "(?Ud)" + p.regex, p.needs)
+            hit = hit | T.has_match(hay, "(?Ud)" + T.word_start_last(p.regex), p.needs)
         hits.append(F.when(hit, F.lit(area)))
     return F.array_compact(F.array(*hits))
 
