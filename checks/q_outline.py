@@ -44,11 +44,13 @@ def page_text(spark, sf):
                                               "CAST(floor(p / 3) AS BIGINT) + 1 AS page", "p", "line")])
     ordered = F.array_sort(F.collect_list(F.struct("p", "line")))
     return lines.groupBy("document_id", "doc_id", "page").agg(
-        F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
+        F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text")).persist()
 
 
 def outline(pages):
-    return pages.sparkSession.sql(f"SELECT {ENTRY} FROM {{pages}} WHERE page % 2 = 1", pages=pages)
+    """Outlines and pages are stored tables in practice; here they are derived, so
+    they are kept for the several joins that read them."""
+    return pages.sparkSession.sql(f"SELECT {ENTRY} FROM {{pages}} WHERE page % 2 = 1", pages=pages).persist()
 
 
 def outlined(spark, sf):
