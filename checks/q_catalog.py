@@ -116,10 +116,10 @@ def a10(spark, sf):
     return A.discover(m, REQUESTS)
 
 
-# Two versions of every section: every fifth is new, every seventh is gone, every third is edited.
-OLD = "SELECT section_id AS section_number, document_id, body, ordinal FROM sections_fx WHERE ordinal % 5 <> 4"
+# Two versions of every section: some are renumbered (gone and new), every third is edited.
+OLD = "SELECT CASE WHEN ordinal % 5 = 4 THEN concat(section_id, '_old') ELSE section_id END AS section_number, document_id, body, ordinal FROM sections_fx"
 NEW = ("SELECT section_id AS section_number, document_id, CASE WHEN ordinal % 3 = 0 THEN concat(body, ' Amended.') ELSE body END AS body, ordinal "
-       "FROM sections_fx WHERE ordinal % 7 <> 6")
+       "FROM sections_fx")
 add_duck("diff_fx", f"""SELECT document_id, section_number, CASE WHEN o.body IS NULL THEN 'added' WHEN n.body IS NULL THEN 'removed' WHEN o.body <> n.body THEN 'changed' ELSE 'unchanged' END AS change
  FROM ({OLD}) o FULL OUTER JOIN ({NEW}) n USING (document_id, section_number)""", ("sections_fx",))
 

@@ -11,15 +11,16 @@ from checks.registry import query
 from lexlake.operators import outline as O
 from lexlake.operators import policy as P
 
-# A page is three lines; every odd page opens an outline entry.
+# A page is three lines; two pages make an outline entry.
 PAGES = """SELECT concat('d', CAST(doc_id AS STRING)) AS document_id, doc_id, CAST(floor(p / 3) AS BIGINT) + 1 AS page, p, line"""
 add_duck("lines_fx", PAGES + " FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))")
 add_duck("page_text_fx", "SELECT document_id, doc_id, page, string_agg(line, chr(10) ORDER BY p) AS text FROM lines_fx GROUP BY ALL", ("lines_fx",))
-ENTRY = """document_id, CAST(floor((page - 1) / 2) AS BIGINT) AS idx, CAST(floor((page - 1) / 2) AS BIGINT) % 5 + 1 AS level, page,
+ENTRY = """document_id, idx, idx % 5 + 1 AS level, page,
  CASE (doc_id + page) % 9 WHEN 0 THEN 'PART 1 Record Keeping' WHEN 1 THEN '6.1 Verifying identity of the person' WHEN 2 THEN 'SCHEDULE A'
   WHEN 3 THEN 'FRANÇAIS' WHEN 4 THEN concat(CAST(page AS STRING), ' Short Title') WHEN 5 THEN 'Objet de la loi et des parties' WHEN 6 THEN 'Division 3'
   WHEN 7 THEN 'Table of contents' ELSE 'Interpretation' END AS title"""
-add_duck("outline_fx", f"SELECT {ENTRY} FROM page_text_fx WHERE page % 2 = 1", ("page_text_fx",))
+HALVES = "SELECT document_id, doc_id, CAST(floor((page - 1) / 2) AS BIGINT) AS idx, min(page) AS page"
+add_duck("outline_fx", f"SELECT {ENTRY} FROM ({HALVES} FROM page_text_fx GROUP BY ALL)", ("page_text_fx",))
 # Sections of usable outlines before and after dropping French entries.
 add_duck("ranged_fx", """SELECT *, coalesce(lead(page) OVER (PARTITION BY document_id ORDER BY idx), last_page + 1) AS next_page FROM outline_fx
  JOIN (SELECT document_id, max(page) AS last_page FROM page_text_fx GROUP BY 1) USING (document_id)
@@ -50,7 +51,7 @@ def page_text(spark, sf):
 def outline(pages):
     """Outlines and pages are stored tables in practice; here they are derived, so
     they are kept for the several joins that read them."""
-    return pages.sparkSession.sql(f"SELECT {ENTRY} FROM {{pages}} WHERE page % 2 = 1", pages=pages).persist()
+    return pages.sparkSession.sql(f"SELECT {ENTRY} FROM ({HALVES} FROM {{pages}} GROUP BY ALL)", pages=pages).persist()
 
 
 def outlined(spark, sf):
