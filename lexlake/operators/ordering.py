@@ -20,17 +20,23 @@ def global_position(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return df.sparkSession.createDataFrame(numbered, schema)
 
 
-def position_in_key(df: DataFrame, key: str, ordinal: str, name: str, width: int = 1 << 20) -> DataFrame:
-    """1-based position of every row within ``key`` by a unique integer ``ordinal``.
+def sum_before(df: DataFrame, key: str, ordinal: str, size: Column, name: str, width: int = 1 << 20) -> DataFrame:
+    """Sum of ``size`` over the earlier rows of ``key`` by a unique integer ``ordinal``.
 
-    Rows are numbered within stretches of ``width`` ordinals; the sizes of the
+    Rows are summed within stretches of ``width`` ordinals; the totals of the
     earlier stretches of the key are added.  A stretch holds at most ``width``
     rows however many rows the key has.
     """
-    cut = df.withColumn("_stretch", F.floor(F.col(ordinal) / F.lit(width)).cast("long"))
-    sizes = cut.groupBy(key, "_stretch").agg(F.count("*").alias("_size"))
+    cut = df.withColumns({"_stretch": F.floor(F.col(ordinal) / F.lit(width)).cast("long"), "_size": size})
+    totals = cut.groupBy(key, "_stretch").agg(F.sum("_size").alias("_total"))
     earlier = W.partitionBy(key).orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(key, "_stretch", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
-    inside = W.partitionBy(key, "_stretch").orderBy(ordinal)
-    numbered = cut.withColumn("_n", F.row_number().over(inside)).join(offsets, [key, "_stretch"])
-    return numbered.withColumn(name, F.col("_before") + F.col("_n")).drop("_stretch", "_before", "_n")
+    offsets = totals.select(key, "_stretch", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
+    inside = W.partitionBy(key, "_stretch").orderBy(ordinal).rowsBetween(W.unboundedPreceding, -1)
+    summed = cut.withColumn("_inside", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
+    out = summed.join(offsets, [key, "_stretch"]).withColumn(name, F.col("_before") + F.col("_inside"))
+    return out.drop("_stretch", "_size", "_before", "_inside")
+
+
+def position_in_key(df: DataFrame, key: str, ordinal: str, name: str, width: int = 1 << 20) -> DataFrame:
+    """1-based position of every row within ``key`` by a unique integer ``ordinal``."""
+    return sum_before(df, key, ordinal, F.lit(1), name, width).withColumn(name, F.col(name) + 1)

@@ -85,6 +85,8 @@ def _blocks(df: DataFrame, salt_on: str, rows: int) -> tuple[DataFrame, int]:
 def _meet(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> tuple[DataFrame, DataFrame]:
     """Both sides keyed by (left block, right block): each block is copied once
     per block of the other side, the pairs of rows never leave a task."""
+    # Fresh columns, so that a table can meet itself.
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
     lb, n_left = _blocks(left, left_key, BLOCK_ROWS)
     rb, n_right = _blocks(right, right_key, BLOCK_ROWS)
     lb = lb.withColumnRenamed("_block", "_lb").withColumn(
@@ -168,6 +170,30 @@ def top_k(queries: DataFrame, sections: DataFrame, k: int, threshold: float | No
     return ranked(parts, "query_id", [F.desc("score"), F.col("section_id")], k)
 
 
+def first_similar(rows: DataFrame, threshold: float) -> DataFrame:
+    """For rows(query_id, vector) the smallest id at cosine >= threshold, itself
+    included -> (query_id, keep_id)."""
+    lb, rb = _meet(rows, rows.select(F.col("query_id").alias("section_id"), "vector"), "query_id", "section_id")
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"query_id": [], "keep_id": []})
+        if a.empty or b.empty:
+            return none
+        b = b.sort_values("section_id")
+        close = _matrix(a["vector"]) @ _matrix(b["vector"]).T >= threshold
+        hit = close.any(axis=1)
+        if not hit.any():
+            return none
+        ids = b["section_id"].to_numpy()
+        return pd.DataFrame({"query_id": a["query_id"].to_numpy()[hit], "keep_id": ids[close.argmax(axis=1)[hit]]})
+
+    parts = lb.groupBy("_lb", "_rb").cogroup(rb.groupBy("_lb", "_rb")).applyInPandas(
+        meet, "query_id string, keep_id string")
+    # A zero vector is close to nothing, not even to itself.
+    alone = rows.select("query_id", F.col("query_id").alias("keep_id"))
+    return parts.unionByName(alone).groupBy("query_id").agg(F.min("keep_id").alias("keep_id"))
+
+
 def ranked(parts: DataFrame, key: str, order: list, k: int, spread: int = 64) -> DataFrame:
     """Top-k per key in two steps: first within ``spread`` slices of each key, so
     that one popular key never becomes one task, then over the survivors."""
