@@ -126,3 +126,65 @@ def t1_layers(spark, sf):
     root = scratch(spark)
     T.ingest(docs, f"{root}/layers", f"{root}/state").awaitTermination()
     return spark.read.parquet(f"{root}/layers/gold").select("section_id", "section_number", F.col("level").cast("long").alias("level"))
+
+
+# --- round trips through stored files --------------------------------------
+
+
+@query("S1_manifest_scan", duck(
+    "SELECT ordinal, filename, category, title, parent_act, regulator, company_id, citation FROM manifest_fx", "manifest_fx"))
+def s1(spark, sf):
+    """The registry as JSON lines on disk, read with its fixed schema."""
+    from lexlake.sources import tables as S
+
+    path = f"{scratch(spark)}/manifest.json"
+    cols = ["ordinal", "filename", "category", "title", "parent_act", "regulator", "company_id", "citation"]
+    view(spark, sf, "manifest_fx").select(*cols).write.json(path)
+    return S.manifest(spark, path).select(*cols)
+
+
+@query("W1_W2_layer_round_trip", duck(
+    "SELECT document_id, category, section_id, start_char, end_char FROM silver_fx", "silver_fx"))
+def w1(spark, sf):
+    """Bronze written by category and read back, segmented, Silver written and read back."""
+    from lexlake.operators import segment as G
+    from lexlake.sources import tables as S
+
+    root = scratch(spark)
+    W.write_bronze(corpus(spark, sf), root)
+    W.write_silver(G.segment(S.layer(spark, root, "bronze")), root)
+    out = S.layer(spark, root, "silver")
+    return out.select("document_id", "category", "section_id", *[F.col(c).cast("long").alias(c) for c in ("start_char", "end_char")])
+
+
+@query("W4_gold_round_trip", duck("SELECT section_id, category, label, uncertain FROM gold_fx", "gold_fx"))
+def w4_round_trip(spark, sf):
+    from lexlake.sources import tables as S
+
+    root = scratch(spark)
+    W.write_gold(gold(spark, sf), root, "hash-384", 384)
+    labels = S.layer(spark, root, "gold_labels").select("section_id", "label", "uncertain")
+    return S.layer(spark, root, "gold").select("section_id", "category").join(labels, "section_id")
+
+
+@query("W5_graph_round_trip", duck(
+    """SELECT e."from", e."to", n.type FROM cites_fx e JOIN nodes_fx n ON n.id = e."from" """, "cites_fx", "nodes_fx"))
+def w5(spark, sf):
+    from checks.q_graph import ref_sections
+    from lexlake.operators import graph as K
+    from lexlake.sources import tables as S
+
+    root = scratch(spark)
+    W.write_graph(K.section_nodes(gold(spark, sf)), K.citation_edges(ref_sections(spark, sf)), root)
+    nodes = S.layer(spark, root, "graph_nodes").select(F.col("id").alias("from"), "type")
+    return S.layer(spark, root, "graph_edges").select("from", "to").join(nodes, "from")
+
+
+@query("W8_vector_round_trip", """SELECT vec_id AS section_id, 'given' AS model, round_even(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total FROM embeddings""")
+def w8(spark, sf):
+    from lexlake.sources import tables as S
+
+    root = scratch(spark)
+    W.write_vectors(table(spark, sf, "embeddings").select(F.col("vec_id").alias("section_id"), F.col("embedding").alias("vector")), root, "given")
+    total = F.aggregate(F.col("vector").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
+    return S.layer(spark, root, "vectors").select("section_id", "model", F.bround(total, 6).alias("total"))
