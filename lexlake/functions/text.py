@@ -74,7 +74,7 @@ def match_starts(text: Column, pattern: str) -> Column:
     A sentinel goes in front of each match; the lengths of the pieces between
     sentinels, summed up, are the offsets.
     """
-    clean = F.translate(text, SENTINEL, "\x02")
+    clean = F.replace(text, F.lit(SENTINEL), F.lit("\x02"))
     pieces = F.split(F.regexp_replace(clean, pattern, SENTINEL + "$0"), SENTINEL)
     return running_total(F.transform(pieces, F.length))
 

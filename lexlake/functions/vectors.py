@@ -26,8 +26,10 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """Row normalization with a small guard instead of a zero test."""
-    n = norm(v) + F.lit(EPSILON)
-    return F.transform(as_double(v), lambda x: x / n)
+    # The one-element transform binds the norm, which the inner lambda would else
+    # compute again for every element.
+    scaled = F.transform(F.array(norm(v) + F.lit(EPSILON)), lambda n: F.transform(as_double(v), lambda x: x / n))
+    return scaled[0]
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -132,9 +132,9 @@ def landing_page(pages: DataFrame, kind: str) -> DataFrame:
     """Metadata of an act's or a regulation's landing page."""
     html = F.col("html")
     title = F.nullif(title_of(html), F.lit("Untitled"))
-    nodes = F.regexp_replace(html, r"<[^>]*>", CUT)
+    nodes = F.concat(F.lit(CUT), F.regexp_replace(html, r"<[^>]*>", CUT))
     lead = "Act " if kind == "act" else ""
-    dates = F.regexp_extract(nodes, rf"(?i)([^{CUT}]*{lead}current to[^{CUT}\n]*last amended[^{CUT}]*)", 1)
+    dates = F.regexp_extract(nodes, rf"(?i){CUT}([^{CUT}]*{lead}current to[^{CUT}\n]*last amended[^{CUT}]*)", 1)
     if kind == "act":
         citation, enabling = _extract(F.col("_title"), ACT_CITATION), F.lit(None).cast("string")
     else:

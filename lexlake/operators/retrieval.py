@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.ml.feature import IDF, PCA, HashingTF
+from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -56,8 +56,8 @@ def _hashed_tfidf(sections: DataFrame, text_col: str, dimension: int) -> DataFra
     bag = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=dimension).transform(
         sections.withColumn("_tokens", tokens(F.col(text_col))))
     weighted = IDF(inputCol="_tf", outputCol="_tfidf").fit(bag).transform(bag)
-    raw = weighted.withColumn("_raw", vector_to_array("_tfidf"))
-    return raw.select(*cols, V.unit(F.col("_raw")).cast("array<float>").alias("vector"))
+    unit = Normalizer(inputCol="_tfidf", outputCol="_unit").transform(weighted)
+    return unit.select(*cols, vector_to_array("_unit", "float32").alias("vector"))
 
 
 def search(queries: DataFrame, sections: DataFrame, k: int = 10, threshold: float = 0.0,

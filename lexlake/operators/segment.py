@@ -322,7 +322,7 @@ def split_categories(documents: DataFrame) -> DataFrame:
     """A ``REGULATIONS`` line starts a part of category ``regulation``;
     schedules stay with the part before them, so they need no rule of their own."""
     line = r"(?md)^REGULATIONS?$"
-    pieces = F.split(F.regexp_replace(F.translate("text", T.SENTINEL, "\x02"), line, T.SENTINEL + "$0"), T.SENTINEL)
+    pieces = F.split(F.regexp_replace(F.replace("text", F.lit(T.SENTINEL), F.lit("\x02")), line, T.SENTINEL + "$0"), T.SENTINEL)
     keep = [c for c in documents.columns if c not in ("text", "category")]
     docs = documents.select(*keep, "category", F.posexplode(pieces).alias("part", "text"))
     docs = docs.filter((F.col("part") > 0) | (F.col("text") != ""))
