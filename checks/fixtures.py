@@ -201,7 +201,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A text table, spread over the cores.  The driver's files hold one row group,
     which one task would scan; tables with many row groups need no such step."""
-    return table(spark, sf, name).repartition(spark.sparkContext.defaultParallelism)
+    df = table(spark, sf, name)
+    return df.repartition(spark.sparkContext.defaultParallelism, df.columns[0])
 
 
 def view(spark: SparkSession, sf: str, name: str) -> DataFrame:

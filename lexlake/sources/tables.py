@@ -25,15 +25,14 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
         with open(path, encoding="utf-8") as f:
             entries = (yaml.safe_load(f) or {}).get("documents", [])
         return manifest_of(spark, entries)
-    return spark.read.schema(schemas.MANIFEST).json(path)
+    return spark.read.schema(schemas.ddl(schemas.MANIFEST)).json(path)
 
 
 def manifest_of(spark: SparkSession, entries: Iterable[dict]) -> DataFrame:
     """Manifest rows from dictionaries; fields without a column are ignored."""
-    names = [f.name for f in schemas.MANIFEST if f.name != "ordinal"]
+    names = [n for n in schemas.MANIFEST if n != "ordinal"]
     rows = [(i, *[_plain(e.get(n)) for n in names]) for i, e in enumerate(entries)]
-    schema = schemas.MANIFEST
-    return spark.createDataFrame(rows, schema).select("ordinal", *names)
+    return spark.createDataFrame(rows, schemas.ddl(schemas.MANIFEST))
 
 
 def _plain(value):
@@ -62,7 +61,7 @@ def bronze_texts(spark: SparkSession, root: str, category: str) -> DataFrame:
 def bronze_metadata(spark: SparkSession, root: str) -> DataFrame:
     """S3."""
     return (
-        spark.read.schema(schemas.BRONZE_METADATA).option("multiLine", True)
+        spark.read.schema(schemas.ddl(schemas.BRONZE_METADATA)).option("multiLine", True)
         .option("recursiveFileLookup", True).option("pathGlobFilter", "metadata.json").json(root)
     )
 
@@ -71,11 +70,11 @@ def silver_files(spark: SparkSession, root: str) -> DataFrame:
     """S4 for JSON arrays, one file per document; the document id falls back to the
     directory name."""
     rows = (
-        spark.read.schema(schemas.SILVER_JSON).option("multiLine", True)
+        spark.read.schema(schemas.ddl(schemas.SILVER_JSON)).option("multiLine", True)
         .option("recursiveFileLookup", True).option("pathGlobFilter", "sections.json").json(root)
         .withColumn("_dir", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
     )
-    meta = [f.name for f in schemas.SILVER_JSON["metadata"].dataType if f.name != "document_id"]
+    meta = [n for n in schemas.SECTION_METADATA if n != "document_id"]
     return rows.select(
         F.coalesce("metadata.document_id", "_dir").alias("document_id"),
         *[c for c in rows.columns if c not in ("metadata", "_dir")],
