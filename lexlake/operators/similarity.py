@@ -31,6 +31,16 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return m / (np.linalg.norm(m, axis=1, keepdims=True) + EPSILON)
 
 
+def _plain(values) -> pd.Series:
+    """A column of plain Python values: Arrow-backed strings may come in chunks, which
+    a grouped result cannot carry."""
+    return pd.Series(np.asarray(values, dtype=object), dtype=object)
+
+
+def _no_rows(*names: str) -> pd.DataFrame:
+    return pd.DataFrame({n: _plain([]) for n in names})
+
+
 def _best_per_row(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = scores.argmax(axis=1)
     return at, scores[np.arange(len(scores)), at]
@@ -69,7 +79,7 @@ def best_match(left: DataFrame, right: DataFrame, key: str, limit: int = BROADCA
     def score(vectors: pd.Series) -> pd.DataFrame:
         names, order, matrix = shared.value
         if len(vectors) == 0:
-            return pd.DataFrame({"best_section": [], "best_ordinal": [], "best_score": []})
+            return _no_rows("best_section", "best_ordinal", "best_score")
         at, best = _best_per_row(_matrix(vectors) @ matrix.T)
         return pd.DataFrame({"best_section": names[at], "best_ordinal": order[at], "best_score": best})
 
@@ -103,12 +113,12 @@ def _best_match_grid(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
     def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({key: a[key][:0], "best_section": [], "best_ordinal": [], "best_score": []})
+            return _no_rows(key, "best_section", "best_ordinal", "best_score")
         b = b.sort_values(["ordinal", "section_id"])
         at, best = _best_per_row(_matrix(a["vector"]) @ _matrix(b["vector"]).T)
         return pd.DataFrame({
-            key: a[key],
-            "best_section": b["section_id"].astype(str).to_numpy()[at],
+            key: _plain(a[key]),
+            "best_section": _plain(b["section_id"])[at].to_numpy(),
             "best_ordinal": b["ordinal"].to_numpy(dtype=np.int64)[at],
             "best_score": best,
         })
@@ -132,7 +142,7 @@ def top_k(queries: DataFrame, sections: DataFrame, k: int, threshold: float | No
 
     def keep(qids: np.ndarray, qm: np.ndarray, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("section_id")
-        ids = pdf["section_id"].to_numpy()
+        ids = _plain(pdf["section_id"]).to_numpy()
         scores = qm @ _matrix(pdf["vector"]).T
         out = []
         for i, qid in enumerate(qids):
@@ -141,8 +151,11 @@ def top_k(queries: DataFrame, sections: DataFrame, k: int, threshold: float | No
             if threshold is not None:
                 ok = ok[row[ok] >= threshold]
             best = ok[np.argsort(-row[ok], kind="stable")[:k]]
-            out.append(pd.DataFrame({"query_id": qid, "section_id": ids[best], "score": row[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "section_id": [], "score": []})
+            out.append((np.full(len(best), qid, dtype=object), ids[best], row[best]))
+        if not out:
+            return _no_rows("query_id", "section_id", "score")
+        names, found, values = (np.concatenate(c) for c in zip(*out))
+        return pd.DataFrame({"query_id": _plain(names), "section_id": _plain(found), "score": values})
 
     small = _small_side(q, limit)
     if small is None:
@@ -150,15 +163,15 @@ def top_k(queries: DataFrame, sections: DataFrame, k: int, threshold: float | No
 
         def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if a.empty or b.empty:
-                return pd.DataFrame({"query_id": [], "section_id": [], "score": []})
-            return keep(a["query_id"].to_numpy(), _matrix(a["vector"]), b)
+                return _no_rows("query_id", "section_id", "score")
+            return keep(_plain(a["query_id"]).to_numpy(), _matrix(a["vector"]), b)
 
         parts = lb.groupBy("_lb", "_rb").cogroup(rb.groupBy("_lb", "_rb")).applyInPandas(meet, schema)
     elif small.empty:
         parts = queries.sparkSession.createDataFrame([], schema)
     else:
         shared = queries.sparkSession.sparkContext.broadcast(
-            (small["query_id"].to_numpy(), _matrix(small["vector"])))
+            (_plain(small["query_id"]).to_numpy(), _matrix(small["vector"])))
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             qids, qm = shared.value
@@ -176,7 +189,7 @@ def first_similar(rows: DataFrame, threshold: float) -> DataFrame:
     lb, rb = _meet(rows, rows.select(F.col("query_id").alias("section_id"), "vector"), "query_id", "section_id")
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": [], "keep_id": []})
+        none = _no_rows("query_id", "keep_id")
         if a.empty or b.empty:
             return none
         b = b.sort_values("section_id")
@@ -184,8 +197,9 @@ def first_similar(rows: DataFrame, threshold: float) -> DataFrame:
         hit = close.any(axis=1)
         if not hit.any():
             return none
-        ids = b["section_id"].to_numpy()
-        return pd.DataFrame({"query_id": a["query_id"].to_numpy()[hit], "keep_id": ids[close.argmax(axis=1)[hit]]})
+        ids = _plain(b["section_id"]).to_numpy()
+        own = _plain(a["query_id"]).to_numpy()
+        return pd.DataFrame({"query_id": _plain(own[hit]), "keep_id": _plain(ids[close.argmax(axis=1)[hit]])})
 
     parts = lb.groupBy("_lb", "_rb").cogroup(rb.groupBy("_lb", "_rb")).applyInPandas(
         meet, "query_id string, keep_id string")

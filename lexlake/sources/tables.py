@@ -46,8 +46,8 @@ def bronze_texts(spark: SparkSession, root: str, category: str) -> DataFrame:
     for guidance the directory above it is the regulator."""
     base = f"{root}/{CATEGORY_DIRS[category]}"
     files = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "raw_text.txt").text(base)
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "raw_text.txt")
+        .text(base, wholetext=True)
         .select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
     )
     parts = F.split("path", "/")
@@ -99,7 +99,7 @@ def layer(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 def policy_texts(spark: SparkSession, root: str) -> DataFrame:
     """One row per policy file."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(root)
+    files = spark.read.option("pathGlobFilter", "*.txt").text(root, wholetext=True)
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     return files.select(
         F.regexp_replace(name, r"\.txt$", "").alias("policy_id"), name.alias("filename"), F.col("value").alias("text"))
