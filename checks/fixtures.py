@@ -199,10 +199,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A text table, spread over the cores.  The driver's files hold one row group,
-    which one task would scan; tables with many row groups need no such step."""
+    """A text table.  The driver's files hold one row group, which a single task would
+    scan, so a table with fewer splits than cores is spread by key; a large one is
+    left as it is."""
     df = table(spark, sf, name)
-    return df.repartition(spark.sparkContext.defaultParallelism, df.columns[0])
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, df.columns[0])
 
 
 def view(spark: SparkSession, sf: str, name: str) -> DataFrame:

@@ -114,7 +114,7 @@ def p9_partial(spark, sf):
 
 
 def placed(df, order):
-    from lexlake.operators.ordering import global_position
+    from checks.placing import global_position
 
     out = global_position(df, [*order, F.col("regulation_section_id")], "place")
     return out.select("coverage_status", "place", "regulation_section_id", "residual_risk", "coverage_score")
@@ -160,7 +160,7 @@ RENAME = ("CASE WHEN vec_id % 7 < 3 THEN ['pipeda', 'privacy_act', 'opc__privacy
  FROM (SELECT DISTINCT {RENAME} AS regulation_id FROM embeddings) r
  LEFT JOIN (VALUES {ORDER_VALUES}) AS o(id, i) ON o.id = r.regulation_id""")
 def p13(spark, sf):
-    from lexlake.operators.ordering import global_position
+    from checks.placing import global_position
 
     names = F.expr("CASE WHEN vec_id % 7 < 3 THEN element_at(array('pipeda', 'privacy_act', 'opc__privacy_and_ai'), "
                    "CAST(vec_id % 7 + 1 AS INT)) ELSE concat('r', label) END")

@@ -77,9 +77,12 @@ def w7(spark, sf):
 def w7_assessment(spark, sf):
     e, regs = edges(spark, sf), regulation_ids(spark, sf)
     s = P.regulation_summary(e, regs)
-    row = W.assessment_record(F.lit("p1"), F.lit("user"), P.assessment_totals(s), P.heatmap(e, regs), s)
-    cells = F.size(F.from_json("heatmap", "array<struct<area:string>>")).cast("long")
-    return row.select("policy_id", "run_by", "regulation_count", "avg_coverage", "total_gaps", "total_covered", cells.alias("cells"))
+    record = W.assessment_record(F.lit("p1"), F.lit("user"), P.assessment_totals(s))
+    root = scratch(spark)
+    W.write_assessment(record, P.assessment_results(e), P.heatmap(e, regs), s, root)
+    stored = spark.read.parquet(f"{root}/assessments").withColumnRenamed("id", "assessment_id")
+    cells = spark.read.parquet(f"{root}/assessment_heatmap").groupBy("assessment_id").agg(F.count("*").alias("cells"))
+    return stored.join(cells, "assessment_id").drop("assessment_id")
 
 
 def corpus(spark, sf):

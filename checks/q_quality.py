@@ -230,7 +230,7 @@ RANK = "CASE category WHEN 'act' THEN 1 WHEN 'regulation' THEN 2 WHEN 'guidance'
 @query("Q17_dependency_order", duck(
     f"SELECT ordinal, CAST({RANK} AS BIGINT) AS rank, row_number() OVER (ORDER BY {RANK}, ordinal) AS place FROM manifest_fx", "manifest_fx"))
 def q17(spark, sf):
-    from lexlake.operators.ordering import global_position
+    from checks.placing import global_position
 
     m = M.in_dependency_order(manifest(spark, sf)).select("ordinal", F.col("rank").cast("long").alias("rank"))
     return global_position(m, [F.col("rank"), F.col("ordinal")], "place")

@@ -1,4 +1,4 @@
-"""Positions in a total order without sending a group to one task."""
+"""Positions and running sums within a key without sending a key to one task."""
 
 from __future__ import annotations
 
@@ -7,25 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def global_position(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """1-based position of every row in ``order``.
-
-    A range-partitioned sort gives each task a contiguous stretch; Spark's own
-    ``zipWithIndex`` numbers the stretches one after another.  Only the counts per
-    partition pass the driver.
-    """
-    ordered = df.orderBy(*order)
-    schema = ordered.schema.add(name, "long")
-    numbered = ordered.rdd.zipWithIndex().map(lambda r: (*r[0], r[1] + 1))
-    return df.sparkSession.createDataFrame(numbered, schema)
-
-
 def sum_before(df: DataFrame, key: str, ordinal: str, size: Column, name: str, width: int = 1 << 20) -> DataFrame:
     """Sum of ``size`` over the earlier rows of ``key`` by a unique integer ``ordinal``.
 
     Rows are summed within stretches of ``width`` ordinals; the totals of the
     earlier stretches of the key are added.  A stretch holds at most ``width``
-    rows however many rows the key has.
+    rows however many rows the key has.  Ordinals should count rows (small gaps do
+    no harm): the number of stretches is the largest ordinal over ``width``.
     """
     cut = df.withColumns({"_stretch": F.floor(F.col(ordinal) / F.lit(width)).cast("long"), "_size": size})
     totals = cut.groupBy(key, "_stretch").agg(F.sum("_size").alias("_total"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 
 def _write(df: DataFrame, path: str, mode: str, by: str | None = "category", rows_per_file: int = 1_000_000) -> None:
@@ -41,14 +42,17 @@ def gold_metadata(gold: DataFrame, model: str, dimension: int) -> DataFrame:
 
 
 def write_gold(gold: DataFrame, root: str, model: str, dimension: int, mode: str = "append") -> None:
-    """Sections first; the smaller tables are derived from the written one, so
-    the labelling runs once and nothing needs to be cached."""
-    _write(gold, f"{root}/gold", mode)
-    stored = gold.sparkSession.read.parquet(f"{root}/gold")
-    labels = gold_labels(stored)
-    _write(labels, f"{root}/gold_labels", "overwrite", None)
-    _write(labels.filter("uncertain"), f"{root}/gold_uncertain", "overwrite", None)
-    _write(gold_metadata(stored, model, dimension), f"{root}/gold_metadata", "overwrite", None)
+    """Four tables from one labelling of the given rows; an append touches only
+    what is new.  Blocks lost with an executor are labelled again."""
+    kept = gold.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        labels = gold_labels(kept)
+        _write(kept, f"{root}/gold", mode)
+        _write(labels, f"{root}/gold_labels", mode, None)
+        _write(labels.filter("uncertain"), f"{root}/gold_uncertain", mode, None)
+        _write(gold_metadata(kept, model, dimension), f"{root}/gold_metadata", mode, None)
+    finally:
+        kept.unpersist()
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, root: str, mode: str = "overwrite") -> None:
@@ -116,21 +120,22 @@ def policy_record(policies: DataFrame, sections: DataFrame) -> tuple[DataFrame,
     return rows, parts
 
 
-def assessment_record(policy_id: Column, run_by: Column, totals: DataFrame, cells: DataFrame, summary: DataFrame) -> DataFrame:
-    """The stored assessment, one row; heatmap and summary are the grid of the
-    known regulations as JSON text."""
-    grid = cells.agg(F.to_json(F.array_sort(F.collect_list(F.struct(
-        "regulation_id", "area", "worst_risk", "coverage_pct", "gap_count", "obligation_count")))).alias("heatmap"))
-    lines = summary.agg(F.to_json(F.array_sort(F.collect_list(F.struct(
-        "regulation_id", "score", "covered", "partial", "gaps", "total_obligations")))).alias("summary"))
-    row = totals.join(F.broadcast(grid), F.lit(True)).join(F.broadcast(lines), F.lit(True))
-    return row.select(
-        F.xxhash64(policy_id, run_by, F.col("heatmap")).alias("id"), policy_id.alias("policy_id"), run_by.alias("run_by"),
-        "regulation_count", "avg_coverage", "total_gaps", "total_covered", "heatmap", "summary")
+def assessment_record(policy_id: Column, run_by: Column, totals: DataFrame) -> DataFrame:
+    """The stored assessment, one row."""
+    numbers = ["regulation_count", "avg_coverage", "total_gaps", "total_covered"]
+    return totals.select(
+        F.xxhash64(policy_id, run_by, *[F.col(c) for c in numbers]).alias("id"),
+        policy_id.alias("policy_id"), run_by.alias("run_by"), *numbers)
 
 
-def write_assessment(record: DataFrame, results: DataFrame, root: str) -> None:
-    """Appends an assessment and its flattened results."""
-    _write(record, f"{root}/assessments", "append", None)
-    _write(results, f"{root}/assessment_results", "append", None)
+def of_assessment(rows: DataFrame, record: DataFrame) -> DataFrame:
+    """Result, heatmap or summary rows with the id of their assessment.  They stay
+    rows, so that neither a document nor a task holds the whole grid."""
+    return rows.join(F.broadcast(record.select(F.col("id").alias("assessment_id"))), F.lit(True))
+
 
+def write_assessment(record: DataFrame, results: DataFrame, cells: DataFrame, summary: DataFrame, root: str) -> None:
+    """Appends an assessment and its tables."""
+    _write(record, f"{root}/assessments", "append", None)
+    for name, rows in (("results", results), ("heatmap", cells), ("summary", summary)):
+        _write(of_assessment(rows, record), f"{root}/assessment_{name}", "append", None)

@@ -9,7 +9,8 @@ from lexlake.operators import judge as J
 from lexlake.operators import registry as M
 from lexlake.operators import retrieval as X
 from lexlake.operators import similarity as S
-from lexlake.operators.ordering import global_position, position_in_key, sum_before
+from checks.placing import global_position
+from lexlake.operators.ordering import position_in_key, sum_before
 
 
 def vectors(spark, n, dim=8, seed=1, prefix="s"):
