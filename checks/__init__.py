@@ -2,6 +2,11 @@
 
 import importlib
 import pkgutil
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def all_queries():
