@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexlake.llm import bpe, token_counts
+from lexlake.llm import bpe, packing, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,11 +24,29 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def remainder(key: str, by: int) -> Column:
+    """crc32 of the key as text, modulo ``by``; a null key counts as an empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(by))
+
+
+@query
+def op1_packed_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(documents(spark, sf), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 @query
 def op3_byte_level_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(documents(spark, sf), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+@query
+def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").filter(remainder("doc_id", 4) != 2)
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
+    return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 @query
 def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf), public_tokenizers.path("byte_bpe_50k.json"))
