@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexlake.llm import bpe, packing, token_counts, toxicity
+from lexlake.llm import bpe, packing, secrets, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -50,3 +50,15 @@ def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op8_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    found = secrets.scan(documents(spark, sf))
+    base = F.filter("spans", lambda s: s["kind"] < len(secrets.BASE))
+    of = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    n = lambda v: F.size(F.filter("spans", lambda s: s["verdict"] == v)).cast("long")
+    return found.select(
+        "doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"),
+        F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"),
+        n("live").alias("n_live"), n("example").alias("n_example"))
