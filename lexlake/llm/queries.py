@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexlake.llm import bpe, packing, secrets, token_counts, toxicity
+from lexlake.llm import bpe, contamination, packing, secrets, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -62,3 +62,18 @@ def op8_secrets(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"),
         F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"),
         n("live").alias("n_live"), n("example").alias("n_example"))
+
+
+@query
+def op10_benchmark_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return contamination.contained(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+
+
+ORACLES["op10_benchmark_leaks"] = r"""
+WITH words AS (SELECT 'd' AS side, doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+ UNION ALL SELECT 'i', item_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda w: w <> '') FROM benchmark),
+shingles AS (SELECT DISTINCT side, id, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT side, id, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) >= 5)),
+items AS (SELECT id, g, count(*) OVER (PARTITION BY id) AS q FROM shingles WHERE side = 'i')
+SELECT d.id AS doc_id, i.id AS item_id, max(i.q) AS n_shingles, count(*) AS n_shared, count(*) / max(i.q) AS containment
+FROM shingles d JOIN items i ON i.g = d.g WHERE d.side = 'd' GROUP BY 1, 2 HAVING count(*) / max(i.q) >= 0.8
+"""
