@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexlake.llm import bpe, contamination, packing, secrets, token_counts, toxicity
+from lexlake.llm import bpe, contamination, neardup, packing, secrets, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -77,3 +77,8 @@ items AS (SELECT id, g, count(*) OVER (PARTITION BY id) AS q FROM shingles WHERE
 SELECT d.id AS doc_id, i.id AS item_id, max(i.q) AS n_shingles, count(*) AS n_shared, count(*) / max(i.q) AS containment
 FROM shingles d JOIN items i ON i.g = d.g WHERE d.side = 'd' GROUP BY 1, 2 HAVING count(*) / max(i.q) >= 0.8
 """
+
+
+@query
+def op2_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.classes(documents(spark, sf))
