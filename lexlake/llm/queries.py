@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexlake.llm import bpe, contamination, neardup, packing, secrets, token_counts, toxicity
+from lexlake.llm import bpe, contamination, neardup, packing, recompression, secrets, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -82,3 +82,8 @@ FROM shingles d JOIN items i ON i.g = d.g WHERE d.side = 'd' GROUP BY 1, 2 HAVIN
 @query
 def op2_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.classes(documents(spark, sf))
+
+
+@query
+def op4_repeated_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return recompression.repeated(documents(spark, sf), kept_text=False)
