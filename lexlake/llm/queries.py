@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexlake.llm import bpe, contamination, lattice, neardup, packing, recompression, secrets, token_counts, toxicity
+from lexlake.llm import bpe, contamination, lattice, neardup, packing, ranking, recompression, secrets, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -94,3 +94,9 @@ def op9_lattice_likelihood(spark: SparkSession, sf: str) -> DataFrame:
     held_out = remainder("doc_id", 10) == 0
     scored = lattice.scores(documents(spark, sf), ~held_out, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op7_top_documents(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf)
+    return ranking.search(docs, docs.filter("doc_id % 20 = 0"))
