@@ -195,8 +195,8 @@ def digests(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") -
                 doc = np.repeat(owner, size)
                 for d, found in zip(*bpe.decode(doc, ids), strict=True):
                     decoded[d].update(found)
-                edge = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-                for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(doc)], strict=True):
+                edge = np.flatnonzero(np.concatenate([doc[:1] >= 0, doc[1:] != doc[:-1]]))
+                for a, b in zip(edge.tolist(), np.append(edge[1:], len(doc)).tolist()[: len(edge)], strict=True):
                     d = int(doc[a])
                     written[d].update((b"," if count[d] else b"") + ",".join(map(str, ids[a:b].tolist())).encode())
                     count[d] += b - a
