@@ -41,7 +41,7 @@ PLANTED = ("concat(text, CASE doc_id % 6 WHEN 0 THEN ' À jour au 1 mai. Codific
            "WHEN 1 THEN ' PARTIE 2 ANNEXE 3' ELSE '' END)")
 add_duck("bilingual_fx", f"""SELECT doc_id, n >= 50 AND (french / n > 0.07 OR markers >= 3) AS bilingual
  FROM (SELECT doc_id, {WORDS} AS n, len(list_filter({TOKENS.format('s')}, lambda t: t IN {in_list(R.FRENCH_INDICATORS)})) AS french, {MARKERS} AS markers
- FROM (SELECT doc_id, substr({PLANTED}, 1, 20000) AS s FROM documents))""")
+ FROM (SELECT doc_id, {PLANTED} AS s FROM documents))""")
 
 
 @query("B2_bilingual", duck("SELECT doc_id, bilingual FROM bilingual_fx", "bilingual_fx"))
@@ -116,7 +116,7 @@ def b7(spark, sf):
 
 @query("B8_french_sections", f"""SELECT doc_id, french FROM (SELECT doc_id, coalesce(length(title) > 10 AND {lang_sql('title')} = 'fr', FALSE)
  OR contains(upper(title), 'FRANÇAIS') OR contains(upper(title), 'FRENCH') OR contains(upper(title), 'TABLE ANALYTIQUE')
- OR coalesce(length({strip('text')}) > 50 AND {lang_sql('substr(text, 1, 500)')} = 'fr', FALSE) AS french
+ OR coalesce(length({strip('text')}) > 50 AND {lang_sql('text')} = 'fr', FALSE) AS french
  FROM (SELECT doc_id, text, CASE doc_id % 4 WHEN 0 THEN 'Objet de la loi et des parties' WHEN 1 THEN 'English' WHEN 2 THEN 'Table analytique' ELSE 'Purpose of the Act' END AS title FROM documents))""")
 def b8(spark, sf):
     title = F.expr("CASE doc_id % 4 WHEN 0 THEN 'Objet de la loi et des parties' WHEN 1 THEN 'English' WHEN 2 THEN 'Table analytique' ELSE 'Purpose of the Act' END")
@@ -176,7 +176,7 @@ add_duck("words_fx", f"""SELECT document_id, CAST(floor(p / 100) AS BIGINT) + 1
 add_duck("bounds_fx", """SELECT document_id, avg(coalesce(m, 300.0)) AS boundary FROM (
  SELECT document_id, page, arg_max((x0 + nx) / 2, (nx - x0, -x0)) FILTER (x0 > 180.0 AND nx > x0) AS m FROM (
   SELECT document_id, page, x0, lead(x0) OVER (PARTITION BY document_id, page ORDER BY x0) AS nx
-  FROM (SELECT DISTINCT document_id, page, x0 FROM words_fx WHERE page <= 3)) GROUP BY 1, 2) GROUP BY 1""", ("words_fx",))
+  FROM (SELECT DISTINCT document_id, page, x0 FROM words_fx)) GROUP BY 1, 2) GROUP BY 1""", ("words_fx",))
 
 
 def words(spark, sf):

@@ -28,7 +28,7 @@ def a1(spark, sf):
 
 
 @query("A2_punitive_sections", duck(
-    """SELECT section_id, title, substr(body, 1, 200) AS body, document_id AS document, severity_signal, label AS classification,
+    """SELECT section_id, title, body, document_id AS document, severity_signal, label AS classification,
  array_to_string(areas, ',') AS operational_areas FROM gold_fx WHERE label IN ('obligation', 'prohibition') AND severity_signal = 'punitive'
 ORDER BY document_id, ordinal LIMIT 20""", "gold_fx"))
 def a2(spark, sf):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,9 +22,13 @@ from lexlake.streaming import arrivals as T
 
 def scratch(spark) -> str:
     """A new folder below the cluster's shared checkpoint folder; a temporary one only
-    where none is configured."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base}/{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    on a local master, where all tasks see it."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base:
+        return f"{base}/{uuid.uuid4().hex}"
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set")
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
 @query("W4_gold_metadata", duck(

@@ -13,7 +13,7 @@ from lexlake.functions import rules as R
 from lexlake.operators import graph as K
 
 NODE = "CASE label WHEN 'procedural' THEN 'section' ELSE label END"
-add_duck("nodes_fx", f"""SELECT section_id AS id, {NODE} AS type, document_id AS source_document, section_number, substr(body, 1, 500) AS text,
+add_duck("nodes_fx", f"""SELECT section_id AS id, {NODE} AS type, document_id AS source_document, section_number, body AS text,
  jurisdiction, CAST(confidence AS DOUBLE) AS classification_confidence, areas AS operational_areas,
  CASE WHEN label IN ('obligation', 'prohibition') THEN severity_signal END AS severity_signal FROM gold_fx""", ("gold_fx",))
 
@@ -26,7 +26,7 @@ def k1(spark, sf):
 
 
 @query("S6_graph_view", duck(
-    "SELECT id, type, source_document, section_number, substr(text, 1, 200) AS text, 'privacy' AS domains, severity_signal FROM nodes_fx", "nodes_fx"))
+    "SELECT id, type, source_document, section_number, text, 'privacy' AS domains, severity_signal FROM nodes_fx", "nodes_fx"))
 def s6(spark, sf):
     return flat(K.graph_view(K.section_nodes(gold(spark, sf))))
 
@@ -79,7 +79,8 @@ def k3_acts(spark, sf):
     return K.act_level_edges(ref_sections(spark, sf))
 
 
-NODE_ID = "substr(translate(replace(lower({0}), ' ', '_'), '-().,:', '_'), 1, 50)"
+CLEAN_ID = "translate(replace(lower({0}), ' ', '_'), '-().,:', '_')"
+NODE_ID = f"CASE WHEN length({CLEAN_ID}) > 50 THEN concat(substr({CLEAN_ID}, 1, 41), '_', substr(md5({CLEAN_ID}), 1, 8)) ELSE {CLEAN_ID} END"
 
 
 def manifest(spark, sf):

@@ -14,9 +14,14 @@ from lexlake.operators import html as H
 ROOTS = ("main", "article")
 
 
+#: The names that pages use, and some of French ones.
+NAMES = ["nbsp", "middot", "lt", "gt", "quot", "apos", "copy", "mdash", "eacute", "ucirc", "Ccedil", "oelig", "uuml"]
+
+
 def entity_sql(x: str) -> str:
-    for name, char in H.ENTITIES.items():
-        x = f"replace({x}, '&{name};', {q(char)})"
+    """The ampersand comes last: what it stands for builds no new name."""
+    for name in [*NAMES, "amp"]:
+        x = f"replace({x}, '&{name};', {q(H.ENTITIES[name])})"
     return x
 
 

@@ -10,7 +10,8 @@ from checks.registry import query
 from lexlake.operators import judge as J
 
 add_duck("asked_fx", """SELECT *, CAST(floor(position / 20) AS BIGINT) AS batch FROM (SELECT *, row_number() OVER (PARTITION BY regulation_id ORDER BY vec_id) - 1 AS position FROM reg_fx)""", ("reg_fx",))
-add_duck("prompt_fx", """SELECT substr(string_agg(concat('## ', title, chr(10), body), chr(10) || chr(10) ORDER BY ordinal), 1, 60000) AS policy_text FROM pol_fx""", ("pol_fx",))
+add_duck("parts_fx", """SELECT policy_part, string_agg(t, chr(10) || chr(10) ORDER BY ordinal) AS policy_text FROM (SELECT ordinal, t,
+ CAST(floor((sum(length(t) + 2) OVER (ORDER BY ordinal) - length(t) - 2) / 1000) AS BIGINT) AS policy_part FROM (SELECT ordinal, concat('## ', title, chr(10), body) AS t FROM pol_fx)) GROUP BY 1""", ("pol_fx",))
 
 
 def asked(spark, sf):
@@ -18,10 +19,15 @@ def asked(spark, sf):
 
 
 @query("P19_judge_requests", duck(
-    """SELECT regulation_id, batch, count(*) AS obligations, string_agg(concat('[', section_id, '] (', label, ') ', title, chr(10), substr(body, 1, 400)), chr(10) || chr(10) ORDER BY position) AS obligations_text,
- any_value(policy_text) AS policy_text FROM asked_fx, prompt_fx GROUP BY 1, 2""", "asked_fx", "prompt_fx"))
+    """SELECT regulation_id, batch, count(*) AS obligations, string_agg(concat('[', section_id, '] (', label, ') ', title, chr(10), body), chr(10) || chr(10) ORDER BY position) AS obligations_text
+ FROM asked_fx GROUP BY 1, 2""", "asked_fx"))
 def p19(spark, sf):
-    return J.requests(asked(spark, sf), policy_rows(spark, sf))
+    return J.requests(asked(spark, sf))
+
+
+@query("P19_policy_parts", duck("SELECT policy_part, policy_text FROM parts_fx", "parts_fx"))
+def p19_parts(spark, sf):
+    return J.policy_parts(policy_rows(spark, sf), 1000)
 
 
 # Answers by batch kind: plain, fenced, inside prose, broken, short (three rows), with an unknown status.

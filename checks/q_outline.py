@@ -29,7 +29,7 @@ add_duck("entries_fx", """SELECT r.document_id, r.idx, r.level, r.title, r.page,
  FROM ranged_fx r JOIN page_text_fx t ON t.document_id = r.document_id AND t.page >= r.page AND t.page < r.next_page GROUP BY ALL""", ("ranged_fx", "page_text_fx"))
 add_duck("kept_fx", f"""SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY idx) AS nth FROM entries_fx
  WHERE NOT (coalesce(length(title) > 10 AND {lang_sql('title')} = 'fr', FALSE) OR contains(upper(title), 'FRANÇAIS') OR contains(upper(title), 'FRENCH')
-  OR contains(upper(title), 'TABLE ANALYTIQUE') OR coalesce(length({strip('text')}) > 50 AND {lang_sql('substr(text, 1, 500)')} = 'fr', FALSE))""", ("entries_fx",))
+  OR contains(upper(title), 'TABLE ANALYTIQUE') OR coalesce(length({strip('text')}) > 50 AND {lang_sql('text')} = 'fr', FALSE))""", ("entries_fx",))
 NUM = "coalesce(nullif(regexp_extract(title, '^(\\d+(?:\\.\\d+)?)\\s+', 1), ''), nullif(regexp_extract(title, '(?i)^(PART\\s+\\d+(?:\\.\\d+)?)\\s+', 1), ''), title)"
 add_duck("outlined_fx", f"""SELECT document_id, document_id || '_s' || lpad(CAST(nth AS VARCHAR), 4, '0') AS section_id, num AS section_number,
  CASE WHEN upper(raw) LIKE 'PART %' THEN 'part' WHEN upper(raw) LIKE 'DIVISION %' THEN 'division' WHEN upper(raw) LIKE 'SCHEDULE%' THEN 'schedule'
@@ -45,13 +45,12 @@ def page_text(spark, sf):
                                               "CAST(floor(p / 3) AS BIGINT) + 1 AS page", "p", "line")])
     ordered = F.array_sort(F.collect_list(F.struct("p", "line")))
     return lines.groupBy("document_id", "doc_id", "page").agg(
-        F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text")).persist()
+        F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
 
 
 def outline(pages):
-    """Outlines and pages are stored tables in practice; here they are derived, so
-    they are kept for the several joins that read them."""
-    return pages.sparkSession.sql(f"SELECT {ENTRY} FROM ({HALVES} FROM {{pages}} GROUP BY ALL)", pages=pages).persist()
+    """Outlines and pages are stored tables in practice; here they are derived."""
+    return pages.sparkSession.sql(f"SELECT {ENTRY} FROM ({HALVES} FROM {{pages}} GROUP BY ALL)", pages=pages)
 
 
 def outlined(spark, sf):

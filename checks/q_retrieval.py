@@ -83,7 +83,7 @@ def v5(spark, sf):
 @query("V6_category_post_filter", duck(
     f"""SELECT {SHOW.replace('rank', 'n AS rank')} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM ({ranked_sql(15, 'score >= 0')}) WHERE category = 'act') WHERE n <= 5""", "hits_fx"))
 def v6(spark, sf):
-    return shown(X.search(questions(spark, sf), sections(spark, sf), 5, category="act"))
+    return shown(X.search(questions(spark, sf), sections(spark, sf), 5, category="act", mode="post"))
 
 
 @query("V6_category_pre_filter", duck(f"""SELECT {SHOW} FROM ({ranked_sql(5, "score >= 0 AND category = 'act'")})""", "hits_fx"))

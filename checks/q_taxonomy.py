@@ -43,7 +43,7 @@ C_BEST, C_CONF = best(C_COLS)
 add_duck("category_fx", f"""SELECT *, {C_BEST} AS c_cat, {C_CONF} AS c_conf, CASE WHEN {T_CONF} < 0.3 THEN 'policy' ELSE {T_BEST} END AS t_cat,
  CASE WHEN {T_CONF} < 0.3 THEN 0.5 ELSE {T_CONF} END AS t_conf FROM (SELECT *, """ + ", ".join(
     f"({points('title', R.TITLE_PATTERNS.get(k, ()), 0.4)}) + ({points(chr(99) + 'oalesce(filename, ' + chr(39) * 2 + ')', R.TITLE_PATTERNS.get(k, ()), 0.2)}) AS t_{k}, "
-    f"({points('substr(content, 1, 2000)', R.CONTENT_PATTERNS.get(k, ()), 0.3)}) AS c_{k}" for k in R.CATEGORIES) + " FROM titled_fx)", ("titled_fx",))
+    f"({points('content', R.CONTENT_PATTERNS.get(k, ()), 0.3)}) AS c_{k}" for k in R.CATEGORIES) + " FROM titled_fx)", ("titled_fx",))
 
 
 @query("C5_category_by_title", duck("SELECT doc_id, t_cat AS category, round_even(t_conf, 6) AS confidence FROM category_fx", "category_fx"))
@@ -72,7 +72,7 @@ def c7(spark, sf):
     return out.select("doc_id", "title", "category", F.bround("confidence", 6).alias("confidence"), "method", "category_name", "storage_path")
 
 
-SAMPLE = "concat(title, chr(10), substr(content, 1, 1000))"
+SAMPLE = "concat(title, chr(10), content)"
 
 
 def keyword(table) -> str:

@@ -19,13 +19,20 @@ WHITESPACE = (
     "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
-SENTINEL = "\x01"
+SENTINEL, FENCE = "\x01", "\x02"
+# Elements that a fold with a growing result runs over at once.
+BLOCK = 64
 
 
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
 
+def opening(c: Column, chars: int | None) -> Column:
+    """The first ``chars`` characters, or all of them."""
+    return c if chars is None else F.substring(c, 1, chars)
+
+
 def flatten_lines(c: Column) -> Column:
     return F.regexp_replace(c, r"\s+", " ")
 
@@ -57,9 +64,20 @@ def has_match(c: Column, pattern: str, needs: str | None = None) -> Column:
     return hit if needs is None else F.contains(c, F.lit(needs)) & hit
 
 
-def running_total(lengths: Column) -> Column:
-    """Inclusive running sums of an int array, as one fold."""
-    zero = F.struct(F.array().cast("array<int>").alias("sums"), F.lit(0).alias("at"))
+def bound(value: Column, use) -> Column:
+    """``use(value)``, with the value worked out once however often it occurs there."""
+    return F.transform(F.array(value), use)[0]
+
+
+def in_blocks(values: Column) -> Column:
+    """The array cut into arrays of ``BLOCK`` elements."""
+    last = F.floor((F.size(values) - 1) / BLOCK).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(values, k * BLOCK + 1, F.lit(BLOCK)))
+    return F.when(F.size(values) > 0, cut).otherwise(F.filter(F.array(values), lambda x: F.lit(False)))
+
+
+def _sums(lengths: Column, start: Column) -> Column:
+    zero = F.struct(F.array().cast("array<int>").alias("sums"), start.cast("int").alias("at"))
 
     def step(acc: Column, n: Column) -> Column:
         at = (acc["at"] + n).cast("int")
@@ -68,33 +86,47 @@ def running_total(lengths: Column) -> Column:
     return F.aggregate(lengths, zero, step, lambda acc: acc["sums"])
 
 
-def match_starts(text: Column, pattern: str) -> Column:
-    """0-based start offset of every match, left to right, then the text length.
+def running_total(lengths: Column) -> Column:
+    """Inclusive running sums of an int array.
 
-    A sentinel goes in front of each match; the lengths of the pieces between
-    sentinels, summed up, are the offsets.
-    """
-    clean = F.replace(text, F.lit(SENTINEL), F.lit("\x02"))
-    pieces = F.split(F.regexp_replace(clean, pattern, SENTINEL + "$0"), SENTINEL)
-    return running_total(F.transform(pieces, F.length))
+    A fold copies what it has so far at every step, so it runs inside blocks, and once
+    over the sums of the blocks."""
 
+    def summed(blocks: Column) -> Column:
+        whole = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, n: (a + n).cast("int")))
+        starts = F.concat(F.array(F.lit(0)), _sums(whole, F.lit(0)))
+        return bound(starts, lambda at: F.flatten(F.transform(blocks, lambda b, i: _sums(b, F.get(at, i)))))
 
-def match_groups(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    return bound(in_blocks(lengths), summed)
 
 
 def matches(text: Column, pattern: str, groups: dict[str, int]) -> Column:
     """Array of struct(pos, <groups...>) for every match of ``pattern``.
 
-    Documents without a match skip the offset work.
-    """
-    cols = [match_starts(text, pattern).alias("pos")]
-    cols += [match_groups(text, pattern, g).alias(name) for name, g in groups.items()]
-    fields = ", ".join(["pos: int"] + [f"{name}: string" for name in groups])
-    empty = F.array().cast(f"array<struct<{fields}>>")
-    first = next(iter(groups))
-    found = F.filter(F.arrays_zip(*cols), lambda m: m[first].isNotNull())
-    return F.when(text.rlike(pattern), found).otherwise(empty)
+    One pass of the pattern writes a sentinel, the groups and the match itself in place
+    of each match.  The lengths of the text between sentinels, summed up, are the
+    offsets."""
+    clean = F.translate(text, SENTINEL + FENCE, "\x03\x03")
+    template = SENTINEL + "".join(f"${g}{FENCE}" for g in groups.values()) + "$0"
+    pieces = F.split(F.regexp_replace(clean, pattern, template), SENTINEL)
+
+    def opened(p: Column) -> Column:
+        ends = running_total(F.transform(p, lambda x: F.length(F.substring_index(x, FENCE, -1))))
+
+        def row(ends: Column) -> Column:
+            def fields(x: Column, i: Column) -> Column:
+                parts = [F.split_part(x, F.lit(FENCE), F.lit(n)).alias(name) for n, name in enumerate(groups, 1)]
+                return F.struct(F.get(ends, i).alias("pos"), *parts)
+
+            return F.transform(F.slice(p, F.lit(2), F.size(p)), fields)
+
+        return bound(ends, row)
+
+    return bound(pieces, opened)
+
+
+def match_groups(text: Column, pattern: str, group: int) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
 def before_first(c: Column, sep: str) -> Column:

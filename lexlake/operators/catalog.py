@@ -36,7 +36,7 @@ def punitive_sections(gold: DataFrame, n: int = 20) -> DataFrame:
     """A2: the first punitive obligations and prohibitions (the cut is the feature)."""
     rows = gold.filter(F.col("label").isin("obligation", "prohibition") & (F.col("severity_signal") == "punitive"))
     return rows.orderBy("document_id", "ordinal").limit(n).select(
-        "section_id", "title", F.substring("body", 1, 200).alias("body"), F.col("document_id").alias("document"),
+        "section_id", "title", "body", F.col("document_id").alias("document"),
         "severity_signal", F.col("label").alias("classification"), "operational_areas")
 
 

@@ -72,7 +72,7 @@ def mapping_edges(scored: DataFrame) -> DataFrame:
         F.col("regulation_id"),
         F.col("section_id").alias("regulation_section_id"),
         F.col("title").alias("regulation_title"),
-        F.substring(F.coalesce("body", F.lit("")), 1, 300).alias("regulation_body"),
+        F.coalesce("body", F.lit("")).alias("regulation_body"),
         F.col("label").alias("classification"),
         severity.alias("severity_signal"),
         F.coalesce("operational_areas", F.array().cast("array<string>")).alias("operational_areas"),
@@ -81,7 +81,7 @@ def mapping_edges(scored: DataFrame) -> DataFrame:
         residual_risk(severity, F.col("coverage_status")).alias("residual_risk"),
         (F.col("coverage_status") == "covered").alias("is_covered"),
         F.when(evidence, F.col("_policy_title")).alias("matched_policy_section"),
-        F.when(evidence, F.substring("_policy_body", 1, 200)).alias("matched_policy_body"),
+        F.when(evidence, F.col("_policy_body")).alias("matched_policy_body"),
         F.when(evidence, F.array("best_section"))
         .otherwise(F.array().cast("array<string>"))
         .alias("evidence_policy_section_ids"),

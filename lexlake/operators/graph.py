@@ -22,7 +22,7 @@ def section_nodes(gold: DataFrame, domains: Column | None = None) -> DataFrame:
         kind.alias("type"),
         F.col("document_id").alias("source_document"),
         "section_number",
-        F.substring(F.coalesce("body", F.lit("")), 1, 500).alias("text"),
+        F.coalesce("body", F.lit("")).alias("text"),
         (F.array(F.lit("privacy")) if domains is None else domains).alias("domains"),
         F.coalesce("jurisdiction", F.lit("Canada")).alias("jurisdiction"),
         F.col("confidence").alias("classification_confidence"),
@@ -66,8 +66,8 @@ def section_index(sections: DataFrame) -> DataFrame:
 def citation_edges(sections: DataFrame, trim_refs: bool = False) -> DataFrame:
     """K2-K4: sections(document_id, section_id, section_number, ordinal, body) -> edges.
 
-    Two equi-joins with the index: the same document first, then the act that the
-    reference names.  Self references and repeats go; of repeats the first stays."""
+    Two equi-joins with the index: the same document first, then, for what is not
+    found there, the act that the reference names.  Self references and repeats go; of repeats the first stays."""
     refs = references(sections, trim_refs)
     index = section_index(sections)
     own = index.select("document_id", F.col("section_number").alias("ref_number"), F.col("target_id").alias("_own"))
@@ -77,13 +77,14 @@ def citation_edges(sections: DataFrame, trim_refs: bool = False) -> DataFrame:
         (F.contains(F.upper("ref_text"), F.lit("PIPEDA")), F.lit("pipeda")),
         (F.contains(F.col("ref_text"), F.lit("Privacy Act")), F.lit("privacy_act")),
     ])
-    joined = (
-        refs.withColumn("_act", act)
-        .join(own, ["document_id", "ref_number"], "left")
-        .join(named, ["_act", "ref_number"], "left")
-        .withColumn("_to", F.coalesce("_own", "_named"))
-        .filter(F.col("_to").isNotNull() & (F.col("_to") != F.col("section_id")))
-    )
+    near = refs.withColumn("_act", act).join(own, ["document_id", "ref_number"], "left")
+    # Nearly every reference resolves at home or names no act: those stay out of the
+    # second join, where one number of the whole corpus would be one key.
+    far = F.col("_own").isNull() & F.col("_act").isNotNull()
+    columns = ["section_id", "_to", "ref_text", "pattern", "nth"]
+    home = near.filter(F.col("_own").isNotNull()).withColumn("_to", F.col("_own")).select(*columns)
+    away = near.filter(far).join(named, ["_act", "ref_number"]).withColumn("_to", F.col("_named")).select(*columns)
+    joined = home.union(away).filter(F.col("_to") != F.col("section_id"))
     first = joined.groupBy(F.col("section_id").alias("from"), F.col("_to").alias("to")).agg(
         F.min_by("ref_text", F.struct("pattern", "nth")).alias("_text"))
     return first.select(
@@ -111,10 +112,12 @@ def containment_edges(sections: DataFrame) -> DataFrame:
 
 
 def registry_id(title: Column) -> Column:
-    """K5: node id from a title, at most 50 characters."""
+    """K5: node id from a title, at most 50 characters; a longer one ends in a hash, so that
+    titles with the same start stay apart."""
     out = F.replace(F.lower(title), F.lit(" "), F.lit("_"))
     out = F.translate(out, "-().,:", "_")
-    return F.substring(out, 1, 50)
+    hashed = F.concat(F.substring(out, 1, 41), F.lit("_"), F.substring(F.md5(out), 1, 8))
+    return F.when(F.length(out) > 50, hashed).otherwise(out)
 
 
 def registry_nodes(manifest: DataFrame) -> DataFrame:
@@ -160,10 +163,10 @@ def _link(kind: str, target: Column, words: Column) -> Column:
 # --- reading the graph -----------------------------------------------------
 
 
-def graph_view(nodes: DataFrame) -> DataFrame:
-    """Nodes as the explorer shows them, text cut to 200 characters."""
+def graph_view(nodes: DataFrame, chars: int | None = None) -> DataFrame:
+    """Nodes as the explorer shows them, with their text or its first ``chars``."""
     return nodes.select("id", "type", "source_document", "section_number",
-                        F.substring("text", 1, 200).alias("text"), "domains", "severity_signal")
+                        T.opening(F.col("text"), chars).alias("text"), "domains", "severity_signal")
 
 
 def graph_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,19 +14,13 @@ from lexlake.functions import text as T
 CUT = T.SENTINEL
 DROPPED_TAGS = ("nav", "footer", "script", "style", "aside")
 ROOTS = ("main", "#wb-main", ".container")
-# Named characters that pages use; numeric references need no table.
-ENTITIES = {
-    "nbsp": "\xa0", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "copy": "©", "reg": "®",
-    "middot": "·", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“",
-    "rdquo": "”", "hellip": "…", "laquo": "«", "raquo": "»", "eacute": "é", "egrave": "è",
-    "agrave": "à", "ccedil": "ç", "ecirc": "ê", "ocirc": "ô", "Eacute": "É", "Agrave": "À",
-    "sect": "§", "deg": "°", "amp": "&",
-}
+# The names that end in a semicolon and stand for one character.
+ENTITIES = {name: chr(code) for name, code in sorted(name2codepoint.items())} | {"apos": "'"}
 
 
 def decode_entities(text: Column) -> Column:
-    """Numeric references first, then names; ``&amp;`` last so that it cannot
-    build a new reference."""
+    """Numeric references first, then names, each read once: what a name stands for
+    cannot build a new reference."""
     pieces = F.split(text, "&#")
 
     def decoded(piece: Column) -> Column:
@@ -37,9 +33,21 @@ def decode_entities(text: Column) -> Column:
 
     tail = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), decoded)
     out = F.when(F.contains(text, F.lit("&#")), F.concat(F.get(pieces, F.lit(0)), F.array_join(tail, ""))).otherwise(text)
-    for name, char in ENTITIES.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    return out
+    return F.when(out.rlike(r"&[A-Za-z][A-Za-z0-9]*;"), _named(out)).otherwise(out)
+
+
+def _named(text: Column) -> Column:
+    """Names looked up in one pass over the ampersands; unknown ones stay."""
+    known = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+    pieces = F.split(text, "&")
+
+    def decoded(piece: Column) -> Column:
+        name = F.regexp_extract(piece, "^([A-Za-z][A-Za-z0-9]*);", 1)
+        char = F.try_element_at(known, name)
+        return F.when(char.isNull(), F.concat(F.lit("&"), piece)).otherwise(
+            F.concat(char, F.substring(piece, F.length(name) + 2, F.length(piece))))
+
+    return T.bound(pieces, lambda p: F.concat(F.get(p, F.lit(0)), F.array_join(F.transform(F.slice(p, F.lit(2), F.size(p)), decoded), "")))
 
 
 def _without(html: Column, tag: str) -> Column:

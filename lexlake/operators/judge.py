@@ -13,7 +13,7 @@ from lexlake.functions import text as T
 from lexlake.operators import compliance as P
 from lexlake.operators.ordering import position_in_key, sum_before
 
-BATCH, POLICY_CHARS, BODY_CHARS = 20, 60000, 400
+BATCH, PART_CHARS = 20, 60000
 UNPARSEABLE, NOT_EVALUATED = "LLM response unparseable", "Not evaluated by LLM"
 VERDICTS = "array<struct<section_id:string,status:string,matched_clause:string,reasoning:string>>"
 
@@ -26,31 +26,40 @@ def batched(obligations: DataFrame, size: int = BATCH) -> DataFrame:
     return numbered.withColumns({"position": position, "batch": F.floor(position / size).cast("long")}).drop("_n")
 
 
-def policy_prompt(policy: DataFrame) -> DataFrame:
-    """One row: the policy as headed paragraphs, cut where the request format cuts it.
-
-    Only sections that start before the cut are gathered, which bounds the row."""
+def policy_parts(policy: DataFrame, chars: int = PART_CHARS) -> DataFrame:
+    """(policy_part, policy_text): the policy as headed paragraphs, in as many parts as
+    requests of about ``chars`` characters need.  A section stays whole and belongs to
+    the part in which it starts."""
     body = F.coalesce("body", F.lit(""))
     headed = F.concat(F.lit("## "), "title", F.lit("\n"), body)
-    part = F.when(F.coalesce("title", F.lit("")) != "", headed).otherwise(body)
-    rows = policy.select("ordinal", F.lit(0).alias("_k"), part.alias("part"))
-    rows = sum_before(rows, "_k", "ordinal", F.length("part") + 2, "_at").filter(F.col("_at") < POLICY_CHARS)
-    ordered = F.array_sort(F.collect_list(F.struct("ordinal", F.substring("part", 1, POLICY_CHARS).alias("part"))))
-    text = F.array_join(F.transform(ordered, lambda p: p["part"]), "\n\n")
-    return rows.agg(F.substring(text, 1, POLICY_CHARS).alias("policy_text"))
+    text = F.when(F.coalesce("title", F.lit("")) != "", headed).otherwise(body)
+    rows = policy.select("ordinal", F.lit(0).alias("_k"), text.alias("text"))
+    rows = sum_before(rows, "_k", "ordinal", F.length("text") + 2, "_at")
+    ordered = F.array_sort(F.collect_list(F.struct("ordinal", "text")))
+    part = F.floor(F.col("_at") / chars).cast("long").alias("policy_part")
+    return rows.groupBy(part).agg(F.array_join(F.transform(ordered, lambda p: p["text"]), "\n\n").alias("policy_text"))
 
 
-def requests(obligations: DataFrame, policy: DataFrame, size: int = BATCH) -> DataFrame:
-    """One request per regulation and batch of 20 obligations."""
+def requests(obligations: DataFrame, size: int = BATCH) -> DataFrame:
+    """One row per regulation and batch of 20 obligations, with whole bodies.  Each
+    is asked with every row of ``policy_parts``, which stays a table of its own."""
     line = F.concat(
         F.lit("["), "section_id", F.lit("] ("), F.coalesce("label", F.lit("obligation")), F.lit(") "),
-        F.coalesce("title", F.lit("")), F.lit("\n"), F.substring(F.coalesce("body", F.lit("")), 1, BODY_CHARS))
+        F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("body", F.lit("")))
     rows = batched(obligations, size).select("regulation_id", "batch", F.struct("position", line.alias("line")).alias("l"))
     ordered = F.array_sort(F.collect_list("l"))
-    batches = rows.groupBy("regulation_id", "batch").agg(
+    return rows.groupBy("regulation_id", "batch").agg(
         F.count("*").alias("obligations"),
         F.array_join(F.transform(ordered, lambda x: x["line"]), "\n\n").alias("obligations_text"))
-    return batches.join(F.broadcast(policy_prompt(policy)), F.lit(True))
+
+
+def best_of_parts(rows: DataFrame) -> DataFrame:
+    """verdict rows of several policy parts -> the best one for each obligation; the
+    first part among equals."""
+    rank = T.first_when([(F.col("status") == s, F.lit(n)) for n, s in enumerate(("covered", "partial"))], F.lit(2))
+    names = ["status", "matched_clause", "reasoning"]
+    best = rows.groupBy("regulation_id", "position").agg(F.min_by(F.struct(*names), F.struct(rank, "policy_part")).alias("_b"))
+    return best.select("regulation_id", "position", *[F.col(f"_b.{n}").alias(n) for n in names])
 
 
 def parsed_verdicts(raw: Column) -> Column:
@@ -68,12 +77,21 @@ def parsed_verdicts(raw: Column) -> Column:
 
 
 def verdict_rows(responses: DataFrame, batches: DataFrame) -> DataFrame:
-    """responses(regulation_id, batch, raw) -> regulation_id, position, status,
-    matched_clause, reasoning.
+    """responses(regulation_id, batch, raw[, policy_part]) -> regulation_id,
+    position, status, matched_clause, reasoning.
+
+    Answers on several parts of a policy are read part by part; the best one counts.
 
     An unreadable answer is a gap for each obligation of its batch, a short one is
     padded with gaps.  Answers are laid end to end, so one that is too long moves
     the later ones of its regulation."""
+    if "policy_part" in responses.columns:
+        parts = responses.withColumn("_part", F.struct("regulation_id", "policy_part"))
+        renamed = parts.withColumn("regulation_id", F.to_json("_part"))
+        keys = responses.select("regulation_id", "policy_part").distinct().withColumn("_key", F.to_json(F.struct("regulation_id", "policy_part")))
+        asked = batches.join(keys, "regulation_id").withColumn("regulation_id", F.col("_key")).drop("_key", "policy_part")
+        rows = verdict_rows(renamed.drop("policy_part", "_part"), asked).withColumnRenamed("regulation_id", "_key")
+        return best_of_parts(rows.join(keys, "_key"))
     sizes = batches.groupBy("regulation_id", "batch").agg(F.count("*").alias("_asked"))
     answers = responses.join(sizes, ["regulation_id", "batch"]).withColumn("_v", parsed_verdicts(F.col("raw")))
     filler = F.struct(
@@ -100,7 +118,7 @@ def judged_coverage(obligations: DataFrame, responses: DataFrame, size: int = BA
         "regulation_id",
         F.col("section_id").alias("regulation_section_id"),
         F.col("title").alias("regulation_title"),
-        F.substring(F.coalesce("body", F.lit("")), 1, 300).alias("regulation_body"),
+        F.coalesce("body", F.lit("")).alias("regulation_body"),
         F.col("label").alias("classification"),
         severity.alias("severity_signal"),
         F.coalesce("operational_areas", F.array().cast("array<string>")).alias("operational_areas"),

@@ -61,11 +61,11 @@ def _hashed_tfidf(sections: DataFrame, text_col: str, dimension: int) -> DataFra
 
 
 def search(queries: DataFrame, sections: DataFrame, k: int = 10, threshold: float = 0.0,
-           category: str | None = None, mode: str = "post") -> DataFrame:
+           category: str | None = None, mode: str = "pre") -> DataFrame:
     """V4-V6: the k best sections of each query.
 
-    With a category, ``post`` fetches 3k and filters afterwards, which may leave
-    fewer than k; ``pre`` filters the sections first."""
+    With a category, ``pre`` filters the sections first; ``post`` fetches 3k and filters
+    afterwards, which may leave fewer than k."""
     if category is None:
         return S.top_k(queries, sections, k, threshold)
     wanted = sections.filter(F.col("category") == category)

@@ -99,37 +99,51 @@ def parents(marks: Column) -> Column:
     """1-based index of the nearest earlier marker with a smaller level.
 
     The fold carries the chain of open ancestors; a marker closes every open one
-    that is not above it.
+    that is not above it.  It runs block by block, so that no step copies the parents
+    of the whole document.
     """
     chain = "array<struct<level:int,at:int>>"
-    zero = F.struct(F.array().cast(chain).alias("open"), F.array().cast("array<int>").alias("parents"))
+    ranked = F.transform(marks, lambda m, i: F.struct(m["level"].alias("level"), (i + 1).cast("int").alias("at")))
 
     def step(acc: Column, m: Column) -> Column:
         above = F.filter(acc["open"], lambda a: a["level"] < m["level"])
-        here = (F.size(acc["parents"]) + 1).cast("int")
-        parent = F.try_element_at(above, F.lit(-1))["at"]
-        me = F.struct(m["level"].alias("level"), here.alias("at"))
-        return F.struct(
-            F.concat(above, F.array(me)).cast(chain).alias("open"),
-            F.concat(acc["parents"], F.array(parent)).alias("parents"),
-        )
+        return T.bound(above, lambda up: F.struct(
+            F.concat(up, F.array(m)).cast(chain).alias("open"),
+            F.concat(acc["parents"], F.array(F.try_element_at(up, F.lit(-1))["at"])).alias("parents")))
+
+    def block(acc: Column, ms: Column) -> Column:
+        zero = F.struct(acc["open"].alias("open"), F.array().cast("array<int>").alias("parents"))
+        return T.bound(F.aggregate(ms, zero, step), lambda r: F.struct(
+            r["open"].alias("open"), F.concat(acc["parents"], F.array(r["parents"])).alias("parents")))
 
-    return F.aggregate(marks, zero, step, lambda acc: acc["parents"])
+    none = F.struct(F.array().cast(chain).alias("open"), F.array().cast("array<array<int>>").alias("parents"))
+    return F.aggregate(T.in_blocks(ranked), none, block, lambda acc: F.flatten(acc["parents"]))
 
 
 def spans(marks: Column, parent: Column, text: Column) -> Column:
-    """Marker + ordinal + [start, end) + its text, stripped."""
+    """Marker + ordinal + [start, end) + its text, stripped.
 
-    def cut(m: Column, i: Column) -> Column:
+    A substring is counted off from the start of its string, so the text is first cut
+    into stretches of some markers, and those into sections."""
+    size = T.BLOCK
+
+    def stretch(k: Column) -> Column:
+        start = F.get(marks, k * size)["pos"]
+        end = F.coalesce(F.get(marks, (k + 1) * size)["pos"], F.length(text))
+        return F.struct((k * size).alias("at"), start.alias("start"), T.chars(text, start, end - start).alias("text"))
+
+    def cut(part: Column, m: Column, i: Column) -> Column:
         end = F.coalesce(F.get(marks, i + 1)["pos"], F.length(text))
         return F.struct(
             (i + 1).alias("ordinal"), m["kind"].alias("section_type"), m["number"].alias("number"),
             m["heading"].alias("heading"), m["level"].alias("level"), F.get(parent, i).alias("parent"),
             m["pos"].alias("start_char"), end.alias("end_char"),
-            T.strip(T.chars(text, m["pos"], end - m["pos"])).alias("text"),
+            T.strip(T.chars(part["text"], m["pos"] - part["start"], end - m["pos"])).alias("text"),
         )
 
-    return F.transform(marks, cut)
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(marks) - 1) / size).cast("int")), stretch)
+    return F.flatten(F.transform(parts, lambda p: F.transform(
+        F.slice(marks, p["at"] + 1, F.lit(size)), lambda m, j: cut(p, m, p["at"] + j))))
 
 
 def document_prefix(document_id: Column, category: Column, parent_act: Column) -> Column:
@@ -196,21 +210,24 @@ def found_markers(documents: DataFrame, keywords: tuple[str, ...] = R.HEADING_KE
 
 
 def segment(documents: DataFrame, min_body: int = MIN_BODY, max_body: int = MAX_BODY,
-            keywords: tuple[str, ...] = R.HEADING_KEYWORDS) -> DataFrame:
+            keywords: tuple[str, ...] = R.HEADING_KEYWORDS, short: bool = False) -> DataFrame:
     """documents(document_id, text[, category, parent_act, ...]) -> sections.
 
-    All other document columns are carried onto the sections.
+    All other document columns are carried onto the sections.  ``short`` gives the
+    sections that G9 drops instead, so that Silver can be reconciled with Bronze.
     """
     docs = with_optional(documents, category="string", parent_act="string")
     keep = [c for c in docs.columns if c != "text"]
     docs = docs.filter(T.strip(F.col("text")) != "")
-    marked = docs.withColumn("_marks", markers(F.col("text"), keywords))
-    linked = marked.withColumn("_parents", parents(F.col("_marks")))
+    # Out of a generator: the optimizer would put the search for parents into the lambda
+    # below, and run it for every marker.
+    linked = docs.select(*keep, "text", F.inline(F.array(T.bound(markers(F.col("text"), keywords), lambda m: F.struct(
+        m.alias("_marks"), parents(m).alias("_parents"))))))
     cut = linked.withColumn("_cut", F.when(
         F.size("_marks") > 0, spans(F.col("_marks"), F.col("_parents"), F.col("text"))
     ).otherwise(_whole(F.col("text"))))
     rows = cut.select(*keep, F.inline_outer("_cut"))
-    return _finished(rows, keep, min_body, max_body)
+    return _finished(rows, keep, min_body, max_body, short)
 
 
 def _whole(text: Column) -> Column:
@@ -229,7 +246,7 @@ def _section_id(document_id: Column, ordinal: Column, width: int) -> Column:
     return F.concat(document_id, F.lit("_s"), F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), F.lit("0")))
 
 
-def _finished(rows: DataFrame, keep: list[str], min_body: int, max_body: int) -> DataFrame:
+def _finished(rows: DataFrame, keep: list[str], min_body: int, max_body: int, short: bool = False) -> DataFrame:
     fallback = F.col("ordinal") == 0
     text = F.col("text")
     whole = F.struct(
@@ -244,7 +261,8 @@ def _finished(rows: DataFrame, keep: list[str], min_body: int, max_body: int) ->
     prefixed = (~fallback) & (F.col("_prefix") != "") & ~F.startswith(F.col("_title"), F.col("_prefix"))
     rows = rows.withColumn("title", F.when(
         prefixed, F.concat("_prefix", F.lit(" > "), "_title")).otherwise(F.col("_title")))
-    rows = rows.filter(fallback | (F.length("body") >= min_body))
+    long_enough = fallback | (F.length("body") >= min_body)
+    rows = rows.filter(~long_enough if short else long_enough)
     doc, ordinal = F.col("document_id"), F.greatest(F.col("ordinal"), F.lit(1))
     no_text = F.array().cast("array<string>")
     return rows.select(

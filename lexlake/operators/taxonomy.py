@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from lexlake.functions import rules as R
 from lexlake.functions import text as T
 
-CONTENT_SAMPLE, DETECT_SAMPLE = 2000, 1000
-
 
 def _best(scores: dict[str, Column]) -> tuple[Column, Column]:
     """First category with the highest score, and that score (at most 1)."""
@@ -34,16 +32,15 @@ def category_by_title(title: Column, filename: Column) -> Column:
                     F.when(weak, F.lit(0.5)).otherwise(confidence).alias("confidence"))
 
 
-def category_by_content(content: Column) -> Column:
-    """struct(category, confidence) from the opening, 0.3 per pattern."""
-    sample = F.substring(content, 1, CONTENT_SAMPLE)
+def category_by_content(content: Column, chars: int | None = None) -> Column:
+    """struct(category, confidence) from the content, or its first ``chars``; 0.3 per pattern."""
+    sample = T.opening(content, chars)
     best, confidence = _best({cat: _points(sample, R.CONTENT_PATTERNS.get(cat, ()), 0.3) for cat in R.CATEGORIES})
     return F.struct(best.alias("category"), confidence.alias("confidence"))
 
 
-def _sample(title: Column, content: Column) -> Column:
-    opening = F.substring(F.coalesce(content, F.lit("")), 1, DETECT_SAMPLE)
-    return F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), opening)
+def _sample(title: Column, content: Column, chars: int | None) -> Column:
+    return F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), T.opening(F.coalesce(content, F.lit("")), chars))
 
 
 def _by_keyword(text: Column, table: dict[str, tuple[str, ...]]) -> Column:
@@ -51,19 +48,19 @@ def _by_keyword(text: Column, table: dict[str, tuple[str, ...]]) -> Column:
     return T.first_when([(T.contains_any(low, [w.lower() for w in words]), F.lit(k)) for k, words in table.items()])
 
 
-def regulator(title: Column, content: Column) -> Column:
+def regulator(title: Column, content: Column, chars: int | None = None) -> Column:
     """C8."""
-    return _by_keyword(_sample(title, content), R.REGULATOR_KEYWORDS)
+    return _by_keyword(_sample(title, content, chars), R.REGULATOR_KEYWORDS)
 
 
-def parent_act(title: Column, content: Column) -> Column:
+def parent_act(title: Column, content: Column, chars: int | None = None) -> Column:
     """C9."""
-    return _by_keyword(_sample(title, content), R.ACT_KEYWORDS)
+    return _by_keyword(_sample(title, content, chars), R.ACT_KEYWORDS)
 
 
-def jurisdiction(title: Column, content: Column) -> Column:
+def jurisdiction(title: Column, content: Column, chars: int | None = None) -> Column:
     """C10."""
-    text = _sample(title, content)
+    text = _sample(title, content, chars)
     return T.first_when([
         (T.contains_any(text, list(R.FEDERAL_WORDS)), F.lit("federal")),
         (T.contains_any(text, list(R.PROVINCIAL_WORDS)), F.lit("provincial")),

@@ -6,13 +6,34 @@ columns: a directory per document would mean millions of tiny files.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 
-def _write(df: DataFrame, path: str, mode: str, by: str | None = "category", rows_per_file: int = 1_000_000) -> None:
+def _stored_keys(df: DataFrame, path: str, keys: list[str]) -> DataFrame | None:
+    """The keys that the table has; None where there is no table yet."""
+    try:
+        return df.sparkSession.read.parquet(path).select(*keys)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def _write(df: DataFrame, path: str, mode: str, by: str | None = "category", rows_per_file: int = 1_000_000,
+           keys: list[str] | None = None) -> None:
+    """An append leaves out rows whose keys are stored, so that a repeated job writes
+    nothing twice."""
+    if mode == "append" and keys:
+        known = _stored_keys(df, path, keys)
+        if known is not None:
+            df = df.join(known.distinct(), keys, "left_anti").select(*df.columns)
+    # an overwrite by partition replaces the partitions that are written, and no others
     writer = df.write.mode(mode).option("maxRecordsPerFile", rows_per_file)
+    if by == "part":
+        writer = writer.option("partitionOverwriteMode", "dynamic")
     if by is not None and by in df.columns:
         writer = writer.partitionBy(by)
     writer.parquet(path)
@@ -20,12 +41,12 @@ def _write(df: DataFrame, path: str, mode: str, by: str | None = "category", row
 
 def write_bronze(bronze: DataFrame, root: str, mode: str = "append") -> None:
     """W1."""
-    _write(bronze, f"{root}/bronze", mode)
+    _write(bronze, f"{root}/bronze", mode, keys=["document_id"])
 
 
 def write_silver(silver: DataFrame, root: str, mode: str = "append") -> None:
     """W2."""
-    _write(silver, f"{root}/silver", mode)
+    _write(silver, f"{root}/silver", mode, keys=["document_id", "section_id"])
 
 
 def gold_labels(gold: DataFrame) -> DataFrame:
@@ -47,10 +68,11 @@ def write_gold(gold: DataFrame, root: str, model: str, dimension: int, mode: str
     kept = gold.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         labels = gold_labels(kept)
-        _write(kept, f"{root}/gold", mode)
-        _write(labels, f"{root}/gold_labels", mode, None)
-        _write(labels.filter("uncertain"), f"{root}/gold_uncertain", mode, None)
-        _write(gold_metadata(kept, model, dimension), f"{root}/gold_metadata", mode, None)
+        ids = ["document_id", "section_id"]
+        _write(kept, f"{root}/gold", mode, keys=ids)
+        _write(labels, f"{root}/gold_labels", mode, None, keys=ids)
+        _write(labels.filter("uncertain"), f"{root}/gold_uncertain", mode, None, keys=ids)
+        _write(gold_metadata(kept, model, dimension), f"{root}/gold_metadata", mode, None, keys=["document_id"])
     finally:
         kept.unpersist()
 
@@ -135,7 +157,9 @@ def of_assessment(rows: DataFrame, record: DataFrame) -> DataFrame:
 
 
 def write_assessment(record: DataFrame, results: DataFrame, cells: DataFrame, summary: DataFrame, root: str) -> None:
-    """Appends an assessment and its tables."""
-    _write(record, f"{root}/assessments", "append", None)
+    """Appends an assessment and its tables, once.  The assessment itself comes last,
+    so that a job that broke off is written whole when it runs again."""
     for name, rows in (("results", results), ("heatmap", cells), ("summary", summary)):
-        _write(of_assessment(rows, record), f"{root}/assessment_{name}", "append", None)
+        whole = of_assessment(rows, record)
+        _write(whole.withColumn("part", F.col("assessment_id")), f"{root}/assessment_{name}", "overwrite", "part")
+    _write(record, f"{root}/assessments", "append", None, keys=["id"])
