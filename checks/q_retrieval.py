@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.fixtures import add_duck, duck, policy_rows, regulation_rows, table, view
+from checks.fixtures import add_duck, duck, policy_rows, regulation_rows, table, texts, view
 from checks.q_classify import q
 from checks.q_graph import ref_sections
 from checks.registry import query
@@ -133,16 +133,24 @@ def v10(spark, sf):
     return X.bm25(view(spark, sf, "sections_fx"), TERMS).withColumn("score", F.bround("score", 6))
 
 
-# One query: the first policy section by meaning, the section numbers' words by text.
-LEX = ("SELECT section_id, CAST(1 AS DOUBLE) + vec_id % 17 AS score FROM reg_fx")
+# One query: the first policy section by meaning, and some words over the texts of the
+# documents that have a vector.
+WORDS = ["the", "that", "und", "les"]
+add_duck("words_bag_fx", """SELECT section_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda t: t <> '') AS t FROM reg_fx JOIN documents ON doc_id = vec_id""", ("reg_fx",))
+WORDS_TF = ", ".join(f"len(list_filter(t, lambda x: x = '{w}')) AS tf{i}" for i, w in enumerate(WORDS))
+add_duck("words_tf_fx", f"SELECT section_id, len(t) AS len, {WORDS_TF} FROM words_bag_fx", ("words_bag_fx",))
+LEX = f"""SELECT section_id, round_even(CAST({SCORE} AS DOUBLE), 6) AS score FROM words_tf_fx, (SELECT count(*) AS n, avg(len) AS av, {DF} FROM words_tf_fx)
+ WHERE {' + '.join(f'tf{i}' for i in range(len(WORDS)))} > 0"""
 add_duck("sem1_fx", f"SELECT section_id, score, rank FROM ({ranked_sql(20)}) WHERE query_id = 'policy-s0'", ("hits_fx",))
-add_duck("lex1_fx", f"SELECT section_id, score, rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, section_id) AS rank FROM ({LEX})) WHERE rank <= 15", ("reg_fx",))
+add_duck("lex1_fx", f"SELECT section_id, score, rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, section_id) AS rank FROM ({LEX})) WHERE rank <= 15", ("words_tf_fx",))
 
 
 def two_lists(spark, sf):
     s = sections(spark, sf)
     one = questions(spark, sf).filter("query_id = 'policy-s0'")
-    lex = s.select("section_id", (F.lit(1.0) + F.col("vec_id") % 17).alias("score"))
+    d = texts(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    found = X.bm25(s.select("section_id", "vec_id").join(d, "vec_id"), WORDS, "text")
+    lex = found.withColumn("score", F.bround("score", 6))
     return X.search(one, s, 20, threshold=-1.0), X.top_lexical(lex, 15)
 
 

@@ -124,9 +124,10 @@ def _best_match_grid(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
         })
 
     parts = lb.groupBy("_lb", "_rb").cogroup(rb.groupBy("_lb", "_rb")).applyInPandas(score, schema)
-    rank = F.struct(F.col("best_score"), -F.col("best_ordinal"))
+    # the order of the broadcast path: score, then ordinal, then id
+    rank = F.struct(-F.col("best_score"), F.col("best_ordinal"), F.col("best_section"))
     pick = F.struct("best_section", "best_ordinal", "best_score")
-    return parts.groupBy(key).agg(F.max_by(pick, rank).alias("b")).select(key, "b.*")
+    return parts.groupBy(key).agg(F.min_by(pick, rank).alias("b")).select(key, "b.*")
 
 
 def top_k(queries: DataFrame, sections: DataFrame, k: int, threshold: float | None = None,
@@ -174,10 +175,30 @@ def top_k(queries: DataFrame, sections: DataFrame, k: int, threshold: float | No
             (_plain(small["query_id"]).to_numpy(), _matrix(small["vector"])))
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """The best k of all batches of the task; what cannot reach a query's k-th
+            score so far is not looked at again."""
             qids, qm = shared.value
+            floor = np.full(len(qids), -np.inf if threshold is None else threshold)
+            at, ids, best = np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0)
             for pdf in batches:
-                if not pdf.empty:
-                    yield keep(qids, qm, pdf)
+                if pdf.empty:
+                    continue
+                names = _plain(pdf["section_id"]).to_numpy()
+                scores = qm @ _matrix(pdf["vector"]).T
+                q, j = np.nonzero(scores >= floor[:, None])
+                if exclude_self:
+                    other = names[j] != qids[q]
+                    q, j = q[other], j[other]
+                at, ids, best = np.append(at, q), np.append(ids, names[j]), np.append(best, scores[q, j])
+                order = np.lexsort((np.unique(ids.astype(str), return_inverse=True)[1], -best, at))
+                at, ids, best = at[order], ids[order], best[order]
+                first = np.searchsorted(at, np.arange(len(qids)))
+                keep = np.arange(len(at)) - first[at] < k
+                at, ids, best = at[keep], ids[keep], best[keep]
+                full = np.bincount(at, minlength=len(qids)) == k
+                last = np.searchsorted(at, np.arange(len(qids)), "right") - 1
+                floor[full] = best[last[full]]
+            yield pd.DataFrame({"query_id": _plain(qids[at]), "section_id": _plain(ids), "score": best}) if len(at) else _no_rows("query_id", "section_id", "score")
 
         parts = s.mapInPandas(scan, schema)
     return ranked(parts, "query_id", [F.desc("score"), F.col("section_id")], k)
