@@ -27,7 +27,9 @@ from pyspark.sql import types as T
 from lexlake.llm import flat
 from lexlake.llm.shared import stored
 
-ROUNDS = 3
+ROUNDS = 4
+#: Words that an anchor takes in on either side of what decided its symbol.
+MARGIN = 4
 _RUN, _LEFT, _ALONE = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 _TURN = [np.uint64((int(_LEFT) * (k + 1)) % (1 << 64)) for k in range(64)]
 _WORD, _OTHER = 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
@@ -98,7 +100,13 @@ def anchors(name: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray,
     if not len(at):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     s, low, high = parse(name, doc)
-    key = flat.mix(s ^ _ALONE)
+    held = sums(name, _WORD)
+    # a short symbol is common where its words are: what decided it, and a margin, make
+    # an anchor of two dozen words and more
+    low, high = low - MARGIN, high + MARGIN
+    inside = (low >= 0) & (high <= len(name))
+    a, b = np.where(inside, low, 0), np.where(inside, high, 1)
+    key = flat.mix(s ^ stretch(held, a, b - a) ^ _ALONE)
     start = np.searchsorted(low, at, "left")
     stop = np.searchsorted(high, at + window, "right")
     size = stop - start
@@ -114,7 +122,6 @@ def anchors(name: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray,
         now = best[: len(later)]
         best = np.concatenate([np.where(key[later] < key[now], later, now), best[len(later) :]])
         step *= 2
-    held = sums(name, _WORD)
     alone = elected < 0
     anchor = np.where(alone, stretch(held, at, window), key[elected])
     new = np.concatenate([[True], (elected[1:] != elected[:-1]) | alone[1:] | (at[1:] != at[:-1] + 1)])
