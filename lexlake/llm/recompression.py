@@ -244,7 +244,9 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", window: i
     usable = survey.filter("node IS NOT NULL")
 
     each = usable.select("node", F.explode(F.array_distinct("anchors")).alias("anchor"))
-    shared = each.groupBy("anchor").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("anchor")
+    # written first, here and below: a join next to its own aggregation cannot be split,
+    # and a passage of very many documents has very many rows of one anchor
+    shared = stored(each.groupBy("anchor").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("anchor"), "shared")
     zipped = F.explode(F.arrays_zip("anchors", "regions", "firsts", "counts")).alias("z")
     places = usable.select("node", zipped).select("node", F.col("z.anchors").alias("anchor"), F.col("z.regions").alias("region"),
                                                   F.col("z.firsts").alias("first"), F.col("z.counts").alias("count"))
@@ -253,7 +255,8 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", window: i
     # equal stretches of windows: all but those of the least key are removed
     regions = places.groupBy("anchor", "region").agg(F.min("node").alias("least"))
     several = regions.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", F.lit(True).alias("several"))
-    judged = stored(places.join(regions.join(several, "anchor", "left"), ["anchor", "region"]).select(
+    regions = stored(regions.join(several, "anchor", "left"), "regions")
+    judged = stored(places.join(regions, ["anchor", "region"]).select(
         "node", "first", "count", (F.col("node") > F.col("least")).alias("gone"), F.coalesce("several", F.lit(False)).alias("open")), "judged")
     gone = judged.filter("gone").select("node", "first", "count")
     open_ = judged.filter("NOT gone AND open")
@@ -265,7 +268,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", window: i
         "node", F.col("r.first").alias("firsts"), F.col("r.count").alias("counts"))
     windows = stored(held.join(ranges(open_), "node").mapInArrow(_windows(window), T.StructType([
         node, T.StructField("at", T.IntegerType()), T.StructField("v", T.LongType()), T.StructField("w", T.LongType())])), "windows")
-    least = windows.groupBy("v", "w").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
+    least = stored(windows.groupBy("v", "w").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high"), "least")
     single = windows.join(least, ["v", "w"]).filter("node > low").select("node", F.col("at").alias("first"), F.lit(1).alias("count"))
 
     cleaned = held.join(ranges(gone.union(single)), "node").mapInArrow(_cleaned(window), T.StructType([
