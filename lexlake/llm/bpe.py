@@ -128,26 +128,30 @@ def _encoded(texts: list[str | None], known: flat.Known) -> Iterator[tuple[np.nd
         yield owners[np.searchsorted(fill, start)], row, known.count[row]
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", keep_text: bool = True, rows: int = 1000) -> DataFrame:
     """All rows of ``df`` with the array ``ids`` of their texts; null and empty texts
-    have an empty one.  A column of that name is replaced, others are left alone."""
+    have an empty one.  A column of that name is replaced, others are left alone, but
+    for the text if ``keep_text`` is false.  A task gives out ``rows`` rows at a time."""
     ranks = df.sparkSession.sparkContext.broadcast(load_ranks(path))
     place = df.columns.index(text)
-    kept = [c for c in df.columns if c != ids]
+    kept = [c for c in df.columns if c != ids and (keep_text or c != text)]
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
     at = [df.columns.index(c) for c in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = flat.Known(Bpe(ranks.value).encode)
-        for batch in batches:
-            n = batch.num_rows
-            count = np.zeros(n, np.int64)
-            found = [np.zeros(0, np.int32)]
-            for owner, row, size in _encoded(batch.column(place).to_pylist(), known):
-                count += np.bincount(owner, size, n).astype(np.int64)
-                found.append(known.values[flat.ragged(known.first[row], size)])
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(np.concatenate(found)))
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in at] + [lists], [*kept, ids])
+        for whole in batches:
+            for k in range(0, whole.num_rows, rows):
+                batch = whole.slice(k, rows)
+                n = batch.num_rows
+                count = np.zeros(n, np.int64)
+                found = [np.zeros(0, np.int32)]
+                for owner, row, size in _encoded(batch.column(place).to_pylist(), known):
+                    count += np.bincount(owner, size, n).astype(np.int64)
+                    found.append(known.values[flat.ragged(known.first[row], size)])
+                edge = pa.array(np.append(0, np.cumsum(count)).astype(np.int32))
+                lists = pa.ListArray.from_arrays(edge, pa.array(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([batch.column(i) for i in at] + [lists], [*kept, ids])
 
     return df.mapInArrow(run, schema)
 
