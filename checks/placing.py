@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from checks.scratch import scratch
+
 
 def global_position(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """1-based position of every row in ``order``.
@@ -12,8 +14,6 @@ def global_position(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     A range-partitioned sort gives each task a contiguous stretch, which is stored with
     the number of its task and of the row there; the rows of the tasks before are added.
     """
-    from checks.q_flow import scratch
-
     spark = df.sparkSession
     path = f"{scratch(spark)}/ordered"
     numbered = df.orderBy(*order).withColumns({"_task": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})

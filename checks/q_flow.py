@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from checks.fixtures import duck, table, view
@@ -13,6 +9,7 @@ from checks.q_classify import gold
 from checks.q_compliance import edges, regulation_ids
 from checks.q_outline import policy_texts
 from checks.registry import query
+from checks.scratch import scratch
 from lexlake.operators import compliance as P
 from lexlake.operators import policy as POL
 from lexlake.plans import build as L
@@ -20,17 +17,6 @@ from lexlake.sources import sinks as W
 from lexlake.streaming import arrivals as T
 
 
-def scratch(spark) -> str:
-    """A new folder below the cluster's shared checkpoint folder; a temporary one only
-    on a local master, where all tasks see it."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base:
-        return f"{base}/{uuid.uuid4().hex}"
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir is not set")
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-
-
 @query("W4_gold_metadata", duck(
     "SELECT document_id, 'hash-384' AS model, 384::BIGINT AS dimension, count(*) AS count, TRUE AS normalized FROM gold_fx GROUP BY 1", "gold_fx"))
 def w4(spark, sf):
