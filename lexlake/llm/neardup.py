@@ -10,7 +10,9 @@ a text keeps are ever made.
 Texts with the same words are folded first.  Bands of the signature make buckets; in a
 small bucket all texts are compared, in a large one each with the bucket's leader.  A
 second pass gives the texts of large buckets other leaders, chosen anew in every band,
-and compares them where the first pass has not joined them yet.  Links are exact.
+and compares them where the first pass has not joined them yet.  What is still apart
+after that is compared in full: texts of one bucket meet in blocks of bounded size, and
+no pair of different classes is left out.  Links are exact.
 """
 
 from __future__ import annotations
@@ -35,6 +37,10 @@ BANDS, ROWS = 26, 5
 SIMILARITY = 0.8
 #: Buckets of more texts are compared by leaders.
 SMALL = 8
+#: Texts and weight units of a block; two blocks of a large bucket meet in one task.
+MEET, MEET_UNITS = 256, 2_000_000
+#: Shared weight units that are counted at once.
+COLUMNS = 4096
 #: Texts whose darts are thrown at once.
 AT_ONCE = 256
 _STEP, _OCCURRENCE, _WORD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), 0x165667B19E3779F9
@@ -145,6 +151,89 @@ def _verified(pairs: DataFrame, units: DataFrame) -> DataFrame:
     return scored.filter(F.col("similarity") >= SIMILARITY)
 
 
+def shared_units(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many weight units each text of ``x`` shares with each of ``y``."""
+    out = np.zeros((len(x), len(y)))
+    both = np.intersect1d(np.concatenate(x), np.concatenate(y))
+    sides = []
+    for texts in (x, y):
+        units = np.concatenate(texts)
+        at = np.minimum(np.searchsorted(both, units), max(len(both) - 1, 0))
+        hit = both[at] == units if len(both) else np.zeros(len(units), bool)
+        at, row = at[hit], np.repeat(np.arange(len(texts)), [len(t) for t in texts])[hit]
+        order = np.argsort(at, kind="stable")
+        sides.append((at[order], row[order], len(texts)))
+    for first in range(0, len(both), COLUMNS):
+        tables = []
+        for at, row, n in sides:
+            part = slice(*np.searchsorted(at, [first, first + COLUMNS]))
+            table = np.zeros((n, COLUMNS), np.float32)
+            table[row[part], at[part] - first] = 1
+            tables.append(table)
+        out += tables[0] @ tables[1].T
+    return out
+
+
+def _meet(cell: pa.Table) -> pa.Table:
+    """Links (a, b) that join all classes of a cell that have similar texts: its first
+    side against its second one, or against itself where there is no second."""
+    node, root = cell.column("node").combine_chunks(), cell.column("root").combine_chunks()
+    units = [np.asarray(u.values) for u in cell.column("units").combine_chunks()]
+    size = np.fromiter(map(len, units), np.int64, len(units))
+    root = np.unique(np.asarray(root.to_pylist()), return_inverse=True)[1]
+    x, y = (np.flatnonzero(np.asarray(cell.column("side")) == side) for side in (0, 1))
+    if np.all(np.asarray(cell.column("i")) == np.asarray(cell.column("j"))):
+        y = x
+    # lists of very different lengths cannot be similar
+    fits = (root[x][:, None] != root[y]) & (np.minimum(size[x][:, None], size[y]) >= SIMILARITY * np.maximum(size[x][:, None], size[y]))
+    x, y, fits = x[fits.any(axis=1)], y[fits.any(axis=0)], fits[np.ix_(fits.any(axis=1), fits.any(axis=0))]
+    a, b = [], []
+    if len(x):
+        both = shared_units([units[i] for i in x], [units[i] for i in y])
+        found = np.argwhere(fits & (both / (size[x][:, None] + size[y] - both) >= SIMILARITY))
+        # one link for two classes that others have not joined yet
+        top = np.arange(len(root))
+        for p, q in zip(x[found[:, 0]].tolist(), y[found[:, 1]].tolist(), strict=True):
+            one, two = top[root[p]], top[root[q]]
+            if one != two:
+                top[top == two] = one
+                a.append(p)
+                b.append(q)
+    return pa.table([node.take(pa.array(a, pa.int64())), node.take(pa.array(b, pa.int64()))], ["a", "b"])
+
+
+def _across(open_: DataFrame, units: DataFrame) -> DataFrame:
+    """Links (a, b) between all texts (bucket, node, root) of one bucket and different
+    roots.  Those of the bucket's most frequent root meet only the others, and the
+    others each other, both in blocks; every two blocks are a group of their own."""
+    sized = stored(open_.join(units.groupBy("node").agg(F.sum(F.size("units")).alias("size")), "node"), "sized")
+    groups = sized.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("size").alias("w"))
+    most = groups.groupBy("bucket").agg(F.max(F.struct("n", "w", "root")).alias("most"), F.sum("n").alias("n"), F.sum("w").alias("w"))
+    blocks = lambda n, w: F.greatest(F.lit(1), F.ceil(n / MEET), F.ceil(w / MEET_UNITS)).cast("int")
+    n, w = F.col("most.n"), F.col("most.w")
+    plan = most.select("bucket", F.col("most.root").alias("main"), blocks(n, w).alias("mains"), blocks(F.col("n") - n, F.col("w") - w).alias("others"))
+    main = F.col("root") == F.col("main")
+    salted = sized.join(plan, "bucket").withColumn("salt", F.pmod(F.xxhash64("node", "bucket"), F.when(main, F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    cell = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).cast("int").alias("side"))
+    each = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+    salt = F.col("salt")
+    of_main = each("others", lambda x: cell(x, -1 - salt, 1))
+    of_other = F.concat(
+        each("others", lambda x: cell(F.least(x, salt), F.greatest(x, salt), F.when(x < salt, 1).otherwise(0))),
+        each("mains", lambda x: cell(salt, -1 - x, 0)))
+    dealt = salted.select("bucket", "node", "root", F.explode(F.when(main, of_main).otherwise(of_other)).alias("c"))
+    dealt = dealt.select("bucket", "node", "root", "c.i", "c.j", "c.side").join(units, "node")
+    kind = units.schema["node"].dataType
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(_meet, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+
+
+def _open(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """The (bucket, node, root) of the buckets whose texts are not all of one root."""
+    large = large.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    mixed = large.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
+    return stored(large.join(mixed, "bucket"), "open")
+
+
 def _pair(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -181,15 +270,19 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     roots = components(links)
 
     # large buckets once more: leaders of each band's own, across what is not joined yet
-    large = shared.filter(F.col("n") > SMALL).select("bucket", "node").join(roots, "node", "left")
-    large = large.select("bucket", "node", F.coalesce("root", "node").alias("root"), F.xxhash64("bucket", "node").alias("h"))
-    mixed = large.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
-    open_ = stored(large.join(mixed, "bucket"), "open")
+    large = shared.filter(F.col("n") > SMALL).select("bucket", "node")
+    open_ = _open(large, roots).withColumn("h", F.xxhash64("bucket", "node"))
     own = F.struct("h", "node", "root")
     leaders = open_.groupBy("bucket").agg(F.array(F.min(own), F.max(own)).alias("leaders")).select("bucket", F.explode("leaders").alias("l"))
     again = open_.join(leaders, "bucket").filter(F.col("root") != F.col("l.root")).select("node", F.col("l.node").alias("other"))
     more = _verified(again.select(*_pair("node", "other")).distinct().join(pairs, ["a", "b"], "left_anti"), units).select("a", "b")
-    roots = components(links.union(more))
+    links = stored(links.union(more), "verified")
+    roots = components(links)
+
+    # and all that is still apart in one bucket
+    apart = _open(large, roots)
+    if not apart.isEmpty():
+        roots = components(links.union(_across(apart, units)))
 
     named = folded.select("content", "node").join(roots, "node", "left").select("content", F.coalesce("root", "node").alias("class_id"))
     return signed.select("node", "content").join(named, "content", "left").select(

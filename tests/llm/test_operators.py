@@ -200,6 +200,21 @@ def test_near_duplicates_are_those_of_brute_force(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == [min(j for j in range(len(texts)) if root[j] == root[i]) for i in range(len(texts))]
 
 
+@pytest.mark.parametrize("block", [256, 16])
+def test_an_original_of_any_id_joins_its_copies(spark, monkeypatch, block):
+    """Copies edited in six places are like the original and not like each other."""
+    monkeypatch.setattr(neardup, "MEET", block)
+    base, rng, texts = words(300, 11, 5000), random.Random(12), []
+    for i in range(201):
+        w = list(base)
+        for at in rng.sample(range(5, 295, 6), 6) if i != 100 else ():
+            w[at] = f"edit{i}at{at}"
+        texts.append(" ".join(w))
+    assert all(similar(texts[100], t) >= 0.8 for t in texts) and similar(texts[0], texts[1]) < 0.8
+    got = {r.doc_id: r.class_id for r in neardup.classes(table(spark, texts)).collect()}
+    assert got == dict.fromkeys(range(201), 0)
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     rows = neardup.classes(odd).collect()
     assert len(rows) == odd.count() and {r.class_id for r in rows if r.doc_id is None} == {None}
