@@ -33,6 +33,8 @@ PASSES, ADDED = 2, 0.01
 _BASE = 0x9E3779B97F4A7C15
 _BLANK = set(b" \t\n\v\f\r")
 NONE = -1e300
+#: Bytes of a word whose pieces are looked up at once; the recursion goes on across them.
+BLOCK = 4096
 
 
 class Pieces:
@@ -57,46 +59,61 @@ class Pieces:
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * flat.powers(_BASE, size), axis=1, out=total[:, 1:])
         down = flat.powers(pow(_BASE, -1, 1 << 64), size + 1)
         lengths = self.lengths[self.lengths <= size]
-        at = np.array([(e, k) for e in range(1, size + 1) for k in lengths.tolist() if k <= e])
+        end = np.repeat(np.arange(1, size + 1), len(lengths))
+        at = np.stack([end, np.tile(lengths, size)], axis=1)
+        at = at[at[:, 1] <= end]
         end, start = at[:, 0], at[:, 0] - at[:, 1]
         name = (total[:, end] - total[:, start]) * down[start]
         row = np.minimum(np.searchsorted(self.names, name), len(self.names) - 1)
         return at, np.where(self.names[row] == name, row, len(self.names))
 
-    def forward(self, size: int, at: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """Log probability of the first e bytes of every word, for all e."""
-        alpha = np.full((len(row), size + 1), NONE)
+    def forward(self, data: np.ndarray, whole: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """Log probability of the first e bytes of every word, for all e.  Long words are
+        looked up ``BLOCK`` ends at a time, with the bytes that pieces reach back;
+        ``whole`` is what was found in words of one block, if that is known."""
+        n, size = data.shape
+        alpha = np.full((n, size + 1), NONE)
         alpha[:, 0] = 0
-        edge = np.searchsorted(at[:, 0], np.arange(1, size + 2))
-        score = self.log_p[row]
-        for e in range(1, size + 1):
-            part = slice(edge[e - 1], edge[e])
-            x = alpha[:, e - at[part, 1]] + score[:, part]
-            top = x.max(axis=1)
-            alpha[:, e] = np.where(top > NONE / 2, top + np.log(np.exp(np.maximum(x - top[:, None], -700)).sum(axis=1)), NONE)
+        for first in range(0, size, BLOCK):
+            base, last = max(0, first - int(self.lengths[-1])), min(first + BLOCK, size)
+            at, row = whole or self.found(data[:, base:last])
+            score = self.log_p[row]
+            edge = np.searchsorted(at[:, 0] + base, np.arange(first + 1, last + 2))
+            for e in range(first + 1, last + 1):
+                part = slice(edge[e - first - 1], edge[e - first])
+                alpha[:, e] = log_sum(alpha[:, e - at[part, 1]] + score[:, part])
         return alpha
 
-    def expected(self, size: int, at: np.ndarray, row: np.ndarray, weight: np.ndarray, into: np.ndarray) -> None:
+    def expected(self, data: np.ndarray, weight: np.ndarray, into: np.ndarray) -> None:
         """Adds to ``into`` how often each piece is expected in the weighted words."""
-        alpha = self.forward(size, at, row)
-        beta = np.full((len(row), size + 1), NONE)
+        n, size = data.shape
+        whole = self.found(data) if size <= BLOCK else None
+        alpha = self.forward(data, whole)
+        beta = np.full((n, size + 1), NONE)
         beta[:, size] = 0
-        start = at[:, 0] - at[:, 1]
-        score = self.log_p[row]
-        by_start = np.argsort(start, kind="stable")
-        edge = np.searchsorted(start[by_start], np.arange(size + 1))
-        for s in range(size - 1, -1, -1):
-            part = by_start[edge[s] : edge[s + 1]]
-            x = beta[:, at[part, 0]] + score[:, part]
-            top = x.max(axis=1)
-            beta[:, s] = np.where(top > NONE / 2, top + np.log(np.exp(np.maximum(x - top[:, None], -700)).sum(axis=1)), NONE)
-        share = np.exp(np.maximum(alpha[:, start] + score + beta[:, at[:, 0]] - alpha[:, size][:, None], -700))
-        share *= weight[:, None]
-        into += np.bincount(row.ravel(), share.ravel(), len(self.log_p))
-
-
-#: A word of more bytes is cut, so that what the recursion holds stays small.
-LONGEST = 4096
+        for first in reversed(range(0, size, BLOCK)):
+            # the stretches that start in this block; what is behind it is known already
+            last = min(first + BLOCK, size)
+            at, row = whole or self.found(data[:, first : last + int(self.lengths[-1])])
+            if not whole:
+                mine = at[:, 0] - at[:, 1] < last - first
+                at, row = at[mine], row[:, mine]
+            end, start = at[:, 0] + first, at[:, 0] - at[:, 1] + first
+            score = self.log_p[row]
+            by_start = np.argsort(start, kind="stable")
+            edge = np.searchsorted(start[by_start], np.arange(first, last + 1))
+            for s in range(last - 1, first - 1, -1):
+                part = by_start[edge[s - first] : edge[s - first + 1]]
+                beta[:, s] = log_sum(beta[:, end[part]] + score[:, part])
+            share = np.exp(np.maximum(alpha[:, start] + score + beta[:, end] - alpha[:, size][:, None], -700))
+            share *= weight[:, None]
+            into += np.bincount(row.ravel(), share.ravel(), len(self.log_p))
+
+
+def log_sum(x: np.ndarray) -> np.ndarray:
+    """Log of the sum of what each row has the logs of."""
+    top = x.max(axis=1)
+    return np.where(top > NONE / 2, top + np.log(np.exp(np.maximum(x - top[:, None], -700)).sum(axis=1)), NONE)
 
 
 def by_length(data: list[bytes], cells: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -111,25 +128,16 @@ def by_length(data: list[bytes], cells: int = 2_000_000) -> Iterator[tuple[np.nd
             yield some, np.frombuffer(b"".join(data[i] for i in some), np.uint8).reshape(len(some), n)
 
 
-def parts(words: list[str]) -> tuple[list[bytes], np.ndarray]:
-    """(bytes of every word behind a space, number of its word).  The bytes of a word
-    beyond ``LONGEST`` are scored as further parts: pieces do not reach across."""
-    data, of = [], []
-    for i, w in enumerate(words):
-        b = b" " + w.encode("utf-8", "surrogatepass")
-        for k in range(0, len(b), LONGEST):
-            data.append(b[k : k + LONGEST])
-            of.append(i)
-    return data, np.array(of, np.int64)
+def spaced(words: list[str]) -> list[bytes]:
+    """The bytes of every word behind a space."""
+    return [b" " + w.encode("utf-8", "surrogatepass") for w in words]
 
 
 def log_marginals(words: list[str], pieces: Pieces) -> np.ndarray:
     """Natural log of the probability of each word behind a space."""
-    data, of = parts(words)
     out = np.zeros(len(words))
-    for places, rows in by_length(data):
-        at, row = pieces.found(rows)
-        np.add.at(out, of[places], pieces.forward(rows.shape[1], at, row)[:, -1])
+    for places, rows in by_length(spaced(words)):
+        out[places] = pieces.forward(rows)[:, -1]
     return out
 
 
@@ -188,11 +196,9 @@ def learn(counts: DataFrame, ranks: dict[bytes, int], ends: int) -> tuple[list[b
             model = Pieces(*held.value)
             total = np.zeros(len(model.log_p))
             for batch in batches:
-                data, of = parts(batch.column(0).to_pylist())
                 weight = np.asarray(batch.column(1), np.float64)
-                for places, rows in by_length(data):
-                    at, row = model.found(rows)
-                    model.expected(rows.shape[1], at, row, weight[of[places]], total)
+                for places, rows in by_length(spaced(batch.column(0).to_pylist())):
+                    model.expected(rows, weight[places], total)
             some = np.flatnonzero(total[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(model.order[some]), pa.array(total[some])], ["piece", "n"])
 

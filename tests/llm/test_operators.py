@@ -358,6 +358,32 @@ def test_lattice_sums_all_segmentations():
     assert np.allclose(np.exp(lattice.log_marginals(some, model)), [every(b" " + w.encode()) for w in some])
 
 
+def test_long_words_are_not_cut():
+    """A word of 10,000 bytes by a recursion over all of it, in both directions."""
+    rng = random.Random(3)
+    names = [b" ", b"a", b"b", b"ab", b"ba", b"abba", b"bbbb", "字".encode(), *(bytes([x]) for x in sorted(set("字".encode())))]
+    p = np.array([rng.random() + 0.1 for _ in names])
+    log_p = np.log(p / p.sum())
+    model, chance = lattice.Pieces(names, log_p), dict(zip(names, log_p.tolist(), strict=True))
+    word = "".join(rng.choice("aabb字") for _ in range(8000))[:7200]
+    data = b" " + word.encode()
+    n = len(data)
+    assert n > 9000
+    fits = [(e - k, e, data[e - k : e]) for e in range(1, n + 1) for k in (1, 2, 3, 4) if k <= e and data[e - k : e] in chance]
+    alpha, beta = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
+    for s, e, x in fits:
+        alpha[e] = np.logaddexp(alpha[e], alpha[s] + chance[x])
+    for s, e, x in sorted(fits, reverse=True):
+        beta[s] = np.logaddexp(beta[s], beta[e] + chance[x])
+    want = Counter()
+    for s, e, x in fits:
+        want[x] += 2 * math.exp(alpha[s] + chance[x] + beta[e] - alpha[n])
+    assert np.allclose(lattice.log_marginals([word, "ab"], model)[0], alpha[n], rtol=1e-12, atol=1e-6)
+    total = np.zeros(len(names) + 1)
+    model.expected(np.frombuffer(data, np.uint8)[None], np.array([2.0]), total)
+    assert np.allclose(total[:-1], [want[names[i]] for i in model.order], rtol=1e-6)
+
+
 @pytest.mark.parametrize("often", [200_000, 5])
 def test_word_scores_are_those_of_brute_force(spark, odd, empty, monkeypatch, often):
     monkeypatch.setattr(lattice, "FREQUENT", often)
