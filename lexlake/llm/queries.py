@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexlake.llm import bpe, contamination, lattice, neardup, packing, ranking, recompression, secrets, token_counts, toxicity
+from lexlake.llm import bpe, codes, contamination, lattice, neardup, packing, quality, ranking, recompression, secrets, token_counts, toxicity
+from lexlake.llm.shared import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -100,3 +101,18 @@ def op9_lattice_likelihood(spark: SparkSession, sf: str) -> DataFrame:
 def op7_top_documents(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf)
     return ranking.search(docs, docs.filter("doc_id % 20 = 0"))
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return codes.compress(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
+ORACLES["op12_vector_codes"] = codes.oracle()
+
+
+@query
+def op13_quality(spark: SparkSession, sf: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf}/labels.parquet").filter(remainder("doc_id", 4) != 2)
+    measured = stored(quality.measure(documents(spark, sf)), "measured")
+    return quality.judge(measured, quality.fit(measured, labels))
