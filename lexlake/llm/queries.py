@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexlake.llm import bpe, codes, contamination, lattice, neardup, packing, quality, ranking, recompression, secrets, token_counts, toxicity
+from lexlake.llm import bpe, codes, contamination, lattice, neardup, packing, quality, ranking, recompression, secrets, token_counts, toxicity, trie
 from lexlake.llm.shared import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,6 +103,14 @@ def op7_top_documents(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.search(docs, docs.filter("doc_id % 20 = 0"))
 
 
+@query
+def op11_conversation_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return trie.trie(spark.read.parquet(f"{sf}/conversations.parquet"))
+
+
+ORACLES["op11_conversation_trie"] = trie.ORACLE
+
+
 @query
 def op12_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
     return codes.compress(spark.read.parquet(f"{sf}/embeddings.parquet"))
