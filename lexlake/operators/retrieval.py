@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from lexlake.functions import rules as R
 from lexlake.functions import text as T
 from lexlake.functions import vectors as V
+from lexlake.operators import clusters as C
 from lexlake.operators import similarity as S
+from lexlake.sources.scratch import stored
 
 Encoder = Callable[[list[str]], "list[list[float]]"]
 DIMENSION, ENCODE_BATCH = 384, 32
@@ -205,21 +207,67 @@ def near_duplicates(sections: DataFrame, threshold: float = R.NEAR_DUPLICATE_AT)
     """section_id -> the smallest id among the sections at least that similar
     (itself included).
 
-    Equal vectors are folded first, by a pre-aggregated minimum, so a large group of
-    copies is one row from there on; the distinct ones are compared block by block
-    and no pair is written out."""
-    rows = sections.select(F.col("section_id").cast("string").alias("section_id"), "vector",
-                           F.sha2(F.to_json("vector"), 256).alias("_v"))
-    first = rows.groupBy("_v").agg(F.min("section_id").alias("query_id"), F.any_value("vector").alias("vector"))
+    Equal vectors are folded first, by a pre-aggregated minimum, and stored, so a large
+    group of copies is one row from there on.  Of the distinct ones each visits only the
+    clusters that can hold a vector at the threshold; no pair is written out."""
+    first, rows = _folded(sections)
     kept = S.first_similar(first.select("query_id", "vector"), threshold)
     owner = first.select("_v", "query_id").join(kept, "query_id").select("_v", "keep_id")
     return rows.select("section_id", "_v").join(owner, "_v").select("section_id", "keep_id")
 
 
-def outliers(sections: DataFrame, below: float = R.OUTLIER_BELOW) -> DataFrame:
-    """Sections whose best neighbour is less similar than ``below``."""
-    q = sections.select(F.col("section_id").alias("query_id"), "vector")
-    best = S.top_k(q, sections.select("section_id", "vector"), 1, exclude_self=True)
+def _folded(sections: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(distinct vectors by their smallest id, all rows), known by a digest of the vector."""
+    rows = sections.select(F.col("section_id").cast("string").alias("section_id"), "vector", F.sha2(F.to_json("vector"), 256).alias("_v"))
+    first = rows.groupBy("_v").agg(F.min("section_id").alias("query_id"), F.count("*").alias("copies"), F.any_value("vector").alias("vector"))
+    return stored(first, "folded"), rows
+
+
+def near_duplicate_work(sections: DataFrame, threshold: float = R.NEAR_DUPLICATE_AT) -> DataFrame:
+    """One row on what the comparison costs; see ``clusters.report``."""
+    first, _ = _folded(sections)
+    held = C.build(first.select(F.col("query_id").alias("section_id"), "vector"))
+    return C.report(C.least_similar_id(held, threshold)[1], held)
+
+
+#: Rows that strike others from the list of possible outliers.
+STRIKERS = 1024
+
+
+def possible_outliers(sections: DataFrame, below: float = R.OUTLIER_BELOW, strikers: int = STRIKERS) -> DataFrame:
+    """The distinct vectors that no cheap comparison rules out -> (query_id, vector).
+
+    A vector that occurs twice has a neighbour, and so has one that is at least ``below``
+    similar to one of ``strikers`` other rows, taken by hash.  Whoever is left is stored."""
+    first, _ = _folded(sections)
+    nonzero = F.exists("vector", lambda x: x != 0)
+    single = first.filter((F.col("copies") == 1) | ~nonzero)
+    some = first.filter(nonzero).orderBy(F.xxhash64("query_id"), "query_id").limit(strikers).select("query_id", "vector").toPandas()
+    if not len(some):
+        return stored(single.select("query_id", "vector"), "possible")
+    held = sections.sparkSession.sparkContext.broadcast((C.plain(some["query_id"]).to_numpy(), C.matrix(some["vector"])))
+
+    @F.pandas_udf("boolean")
+    def struck(ids: pd.Series, vectors: pd.Series) -> pd.Series:
+        names, unit = held.value
+        if not len(ids):
+            return pd.Series([], dtype=bool)
+        close = C.matrix(vectors) @ unit.T >= below
+        return pd.Series((close & (C.plain(ids).to_numpy()[:, None] != names[None, :])).any(1))
+
+    return stored(single.filter(~struck("query_id", "vector")).select("query_id", "vector"), "possible")
+
+
+def outliers(sections: DataFrame, below: float = R.OUTLIER_BELOW, strikers: int = STRIKERS) -> DataFrame:
+    """Sections whose best neighbour is less similar than ``below``.
+
+    Bounds strike nearly all rows first; only the survivors look for their neighbour.
+    Vectors of length zero are similar to nothing, so each of their rows is one."""
+    left = possible_outliers(sections, below, strikers)
+    rows = sections.select(F.col("section_id").cast("string").alias("section_id"), "vector")
+    zero = ~F.exists("vector", lambda x: x != 0)
+    asked = left.filter(~zero).unionByName(rows.filter(zero).select(F.col("section_id").alias("query_id"), "vector"))
+    best = S.top_k(asked, rows, 1, exclude_self=True)
     return best.filter(F.col("score") < below).select(F.col("query_id").alias("section_id"), F.col("score").alias("best_score"))
 
 

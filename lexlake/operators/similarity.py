@@ -1,15 +1,13 @@
-"""Exact similarity of two vector tables.
+"""Exact similarity of two vector tables.
 
 Neither form writes out the pairs.  ``broadcast`` scores Arrow batches of the big
-side against one small matrix and keeps the best ``k`` per batch; it is used only
-when the small side was counted and fits.  ``grid`` cuts both sides into bounded
-blocks, meets each pair of blocks in one task and keeps the best ``k`` per block,
-so it has no limit on either side.
+side against one small matrix and keeps the best ``k`` per task; it is used only
+when the small side was counted and fits.  Beyond that, ``clusters`` skips what bounds
+rule out and meets the rest block by block, so it has no limit on either side.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,23 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexlake.functions.vectors import EPSILON
+from lexlake.operators import clusters as C
+from lexlake.operators.clusters import matrix as _matrix
+from lexlake.operators.clusters import plain as _plain
 
 BROADCAST_ROWS = 4096
-BLOCK_ROWS = 4096
-
-
-def _matrix(column: pd.Series) -> np.ndarray:
-    if len(column) == 0:
-        return np.zeros((0, 0))
-    m = np.stack([np.asarray(v, dtype=np.float64) for v in column])
-    return m / (np.linalg.norm(m, axis=1, keepdims=True) + EPSILON)
-
-
-def _plain(values) -> pd.Series:
-    """A column of plain Python values: Arrow-backed strings may come in chunks, which
-    a grouped result cannot carry."""
-    return pd.Series(np.asarray(values, dtype=object), dtype=object)
 
 
 def _no_rows(*names: str) -> pd.DataFrame:
@@ -62,8 +48,7 @@ def best_match(left: DataFrame, right: DataFrame, key: str, limit: int = BROADCA
     right = right.select("section_id", "ordinal", "vector")
     small = _small_side(right, limit)
     if small is None:
-        grid = _best_match_grid(left.select(key, "vector"), right, key)
-        return left.join(grid, key, "left")
+        return _best_match_clusters(left, right, key)
     if small.empty:
         return left.withColumns({
             "best_section": F.lit(None).cast("string"),
@@ -86,48 +71,11 @@ def best_match(left: DataFrame, right: DataFrame, key: str, limit: int = BROADCA
     return left.withColumn("_best", score("vector")).select(*left.columns, "_best.*")
 
 
-def _blocks(df: DataFrame, salt_on: str, rows: int) -> tuple[DataFrame, int]:
-    """Assigns rows to hash blocks of about ``rows`` rows each."""
-    n = max(1, math.ceil(df.count() / rows))
-    return df.withColumn("_block", F.pmod(F.xxhash64(salt_on), F.lit(n)).cast("int")), n
-
-
-def _meet(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> tuple[DataFrame, DataFrame]:
-    """Both sides keyed by (left block, right block): each block is copied once
-    per block of the other side, the pairs of rows never leave a task."""
-    # Fresh columns, so that a table can meet itself.
-    right = right.select(*[F.col(c).alias(c) for c in right.columns])
-    lb, n_left = _blocks(left, left_key, BLOCK_ROWS)
-    rb, n_right = _blocks(right, right_key, BLOCK_ROWS)
-    lb = lb.withColumnRenamed("_block", "_lb").withColumn(
-        "_rb", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))))
-    rb = rb.withColumnRenamed("_block", "_rb").withColumn(
-        "_lb", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))))
-    return lb, rb
-
-
-def _best_match_grid(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    key_type = dict(left.dtypes)[key]
-    schema = f"`{key}` {key_type}, best_section string, best_ordinal long, best_score double"
-    lb, rb = _meet(left.select(key, "vector"), right, key, "section_id")
-
-    def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return _no_rows(key, "best_section", "best_ordinal", "best_score")
-        b = b.sort_values(["ordinal", "section_id"])
-        at, best = _best_per_row(_matrix(a["vector"]) @ _matrix(b["vector"]).T)
-        return pd.DataFrame({
-            key: _plain(a[key]),
-            "best_section": _plain(b["section_id"])[at].to_numpy(),
-            "best_ordinal": b["ordinal"].to_numpy(dtype=np.int64)[at],
-            "best_score": best,
-        })
-
-    parts = lb.groupBy("_lb", "_rb").cogroup(rb.groupBy("_lb", "_rb")).applyInPandas(score, schema)
-    # the order of the broadcast path: score, then ordinal, then id
-    rank = F.struct(-F.col("best_score"), F.col("best_ordinal"), F.col("best_section"))
-    pick = F.struct("best_section", "best_ordinal", "best_score")
-    return parts.groupBy(key).agg(F.min_by(pick, rank).alias("b")).select(key, "b.*")
+def _best_match_clusters(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    queries = left.select(F.col(key).cast("string").alias("query_id"), "vector")
+    found, _ = C.nearest(queries, C.build(right), 1)
+    best = found.select(F.col("query_id").alias("_of"), F.col("section_id").alias("best_section"), F.col("ordinal").alias("best_ordinal"), F.col("score").alias("best_score"))
+    return left.join(best, F.col(key).cast("string") == F.col("_of"), "left").drop("_of")
 
 
 def top_k(queries: DataFrame, sections: DataFrame, k: int, threshold: float | None = None,
@@ -141,33 +89,9 @@ def top_k(queries: DataFrame, sections: DataFrame, k: int, threshold: float | No
     q = queries.select(F.col("query_id").cast("string").alias("query_id"), "vector")
     s = sections.select(F.col("section_id").cast("string").alias("section_id"), "vector")
 
-    def keep(qids: np.ndarray, qm: np.ndarray, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("section_id")
-        ids = _plain(pdf["section_id"]).to_numpy()
-        scores = qm @ _matrix(pdf["vector"]).T
-        out = []
-        for i, qid in enumerate(qids):
-            row = scores[i]
-            ok = np.arange(len(row)) if not exclude_self else np.flatnonzero(ids != qid)
-            if threshold is not None:
-                ok = ok[row[ok] >= threshold]
-            best = ok[np.argsort(-row[ok], kind="stable")[:k]]
-            out.append((np.full(len(best), qid, dtype=object), ids[best], row[best]))
-        if not out:
-            return _no_rows("query_id", "section_id", "score")
-        names, found, values = (np.concatenate(c) for c in zip(*out))
-        return pd.DataFrame({"query_id": _plain(names), "section_id": _plain(found), "score": values})
-
     small = _small_side(q, limit)
     if small is None:
-        lb, rb = _meet(q, s, "query_id", "section_id")
-
-        def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if a.empty or b.empty:
-                return _no_rows("query_id", "section_id", "score")
-            return keep(_plain(a["query_id"]).to_numpy(), _matrix(a["vector"]), b)
-
-        parts = lb.groupBy("_lb", "_rb").cogroup(rb.groupBy("_lb", "_rb")).applyInPandas(meet, schema)
+        parts = C.nearest(q, C.build(s), k, threshold, exclude_self)[0].drop("ordinal")
     elif small.empty:
         parts = queries.sparkSession.createDataFrame([], schema)
     else:
@@ -207,23 +131,7 @@ def top_k(queries: DataFrame, sections: DataFrame, k: int, threshold: float | No
 def first_similar(rows: DataFrame, threshold: float) -> DataFrame:
     """For rows(query_id, vector) the smallest id at cosine >= threshold, itself
     included -> (query_id, keep_id)."""
-    lb, rb = _meet(rows, rows.select(F.col("query_id").alias("section_id"), "vector"), "query_id", "section_id")
-
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        none = _no_rows("query_id", "keep_id")
-        if a.empty or b.empty:
-            return none
-        b = b.sort_values("section_id")
-        close = _matrix(a["vector"]) @ _matrix(b["vector"]).T >= threshold
-        hit = close.any(axis=1)
-        if not hit.any():
-            return none
-        ids = _plain(b["section_id"]).to_numpy()
-        own = _plain(a["query_id"]).to_numpy()
-        return pd.DataFrame({"query_id": _plain(own[hit]), "keep_id": _plain(ids[close.argmax(axis=1)[hit]])})
-
-    parts = lb.groupBy("_lb", "_rb").cogroup(rb.groupBy("_lb", "_rb")).applyInPandas(
-        meet, "query_id string, keep_id string")
+    parts, _ = C.least_similar_id(C.build(rows.select(F.col("query_id").alias("section_id"), "vector")), threshold)
     # A zero vector is close to nothing, not even to itself.
     alone = rows.select("query_id", F.col("query_id").alias("keep_id"))
     return parts.unionByName(alone).groupBy("query_id").agg(F.min("keep_id").alias("keep_id"))

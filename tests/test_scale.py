@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexlake.operators import clusters as C
 from lexlake.operators import compliance as P
 from lexlake.operators import judge as J
 from lexlake.operators import registry as M
@@ -20,7 +21,7 @@ def vectors(spark, n, dim=8, seed=1, prefix="s"):
 
 @pytest.fixture
 def small_blocks(monkeypatch):
-    monkeypatch.setattr(S, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(C, "BLOCK_ROWS", 7)
 
 
 def test_positions_of_a_hot_key(spark):
