@@ -8,9 +8,11 @@ from checks.fixtures import add_duck, duck, policy_rows, regulation_rows, table,
 from checks.q_classify import q
 from checks.q_graph import ref_sections
 from checks.registry import query
+from checks.scratch import scratch
 from lexlake.functions import rules as R
 from lexlake.functions import vectors as V
 from lexlake.operators import graph as K
+from lexlake.operators import lexical as L
 from lexlake.operators import retrieval as X
 from lexlake.operators import similarity as S
 
@@ -133,6 +135,27 @@ def v10(spark, sf):
     return X.bm25(view(spark, sf, "sections_fx"), TERMS).withColumn("score", F.bround("score", 6))
 
 
+# Every benchmark item is a query against every document, all in one call.
+add_duck("doc_terms_fx", """SELECT id, t, count(*) AS tf, any_value(l) AS len FROM (SELECT doc_id AS id, len(b) AS l, unnest(b) AS t FROM (
+ SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda t: t <> '') AS b FROM documents)) GROUP BY id, t""")
+add_duck("item_terms_fx", """SELECT DISTINCT item_id, unnest(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda t: t <> '')) AS t FROM benchmark""")
+add_duck("doc_stats_fx", """SELECT count(*) AS n, avg(len(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda t: t <> ''))) AS av FROM documents""")
+
+
+@query("V10_posting_search", duck(
+    """SELECT query_id, section_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, section_id) AS rank FROM (
+ SELECT concat('i', item_id) AS query_id, concat('d', id) AS section_id,
+  round_even(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * len / av))), 9) AS score
+ FROM item_terms_fx JOIN doc_terms_fx USING (t) JOIN (SELECT t, count(*) AS df FROM doc_terms_fx GROUP BY t) USING (t), doc_stats_fx GROUP BY 1, 2)) WHERE rank <= 10""",
+    "item_terms_fx", "doc_terms_fx", "doc_stats_fx"))
+def v10_postings(spark, sf):
+    docs = texts(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id").alias("section_id"), "text")
+    index = L.build(docs, f"{scratch(spark)}/postings", "text")
+    items = table(spark, sf, "benchmark").select(F.concat(F.lit("i"), "item_id").alias("query_id"), "text")
+    found = L.search(index, items, 10)
+    return found.select("query_id", "section_id", F.bround("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 # One query: the first policy section by meaning, and some words over the texts of the
 # documents that have a vector.
 WORDS = ["the", "that", "und", "les"]
