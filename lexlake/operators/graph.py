@@ -66,8 +66,8 @@ def section_index(sections: DataFrame) -> DataFrame:
 def citation_edges(sections: DataFrame, trim_refs: bool = False) -> DataFrame:
     """K2-K4: sections(document_id, section_id, section_number, ordinal, body) -> edges.
 
-    Two equi-joins with the index: the same document first, then, for what is not
-    found there, the act that the reference names.  Self references and repeats go; of repeats the first stays."""
+    References are taken out once and go through two equi-joins with the index: the same
+    document first, then, for what is not found there, the act that the reference names.  Self references and repeats go; of repeats the first stays."""
     refs = references(sections, trim_refs)
     index = section_index(sections)
     own = index.select("document_id", F.col("section_number").alias("ref_number"), F.col("target_id").alias("_own"))
@@ -78,13 +78,12 @@ def citation_edges(sections: DataFrame, trim_refs: bool = False) -> DataFrame:
         (F.contains(F.col("ref_text"), F.lit("Privacy Act")), F.lit("privacy_act")),
     ])
     near = refs.withColumn("_act", act).join(own, ["document_id", "ref_number"], "left")
-    # Nearly every reference resolves at home or names no act: those stay out of the
-    # second join, where one number of the whole corpus would be one key.
-    far = F.col("_own").isNull() & F.col("_act").isNotNull()
-    columns = ["section_id", "_to", "ref_text", "pattern", "nth"]
-    home = near.filter(F.col("_own").isNotNull()).withColumn("_to", F.col("_own")).select(*columns)
-    away = near.filter(far).join(named, ["_act", "ref_number"]).withColumn("_to", F.col("_named")).select(*columns)
-    joined = home.union(away).filter(F.col("_to") != F.col("section_id"))
+    # What resolves at home or names no act looks for an act that nobody has, each row for
+    # another one, so that it matches nothing and is not one key of the whole corpus.
+    nobody = F.concat(F.lit("#"), "section_id", "ref_text")
+    near = near.withColumn("_act", F.when(F.col("_own").isNull() & F.col("_act").isNotNull(), F.col("_act")).otherwise(nobody))
+    joined = near.join(named, ["_act", "ref_number"], "left").withColumn("_to", F.coalesce("_own", "_named"))
+    joined = joined.filter(F.col("_to") != F.col("section_id"))
     first = joined.groupBy(F.col("section_id").alias("from"), F.col("_to").alias("to")).agg(
         F.min_by("ref_text", F.struct("pattern", "nth")).alias("_text"))
     return first.select(
