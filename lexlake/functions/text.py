@@ -100,6 +100,28 @@ def running_total(lengths: Column) -> Column:
     return bound(in_blocks(lengths), summed)
 
 
+def scan(values: Column, zero: Column, step) -> Column:
+    """The states ``step(state, value)`` after each element, from ``zero`` on.
+
+    As in ``running_total``, results grow inside blocks and once over the blocks: what a
+    block starts with comes from a fold that keeps one state only."""
+    grown = lambda start: F.struct(F.filter(F.array(start), lambda x: F.lit(False)).alias("states"), start.alias("at"))
+
+    def inside(acc: Column, v: Column) -> Column:
+        return bound(step(acc["at"], v), lambda at: F.struct(F.concat(acc["states"], F.array(at)).alias("states"), at.alias("at")))
+
+    def over(acc: Column, block: Column) -> Column:
+        at = F.aggregate(block, acc["at"], step)
+        return F.struct(F.concat(acc["states"], F.array(acc["at"])).alias("states"), at.alias("at"))
+
+    def states(blocks: Column) -> Column:
+        starts = F.aggregate(blocks, grown(zero), over, lambda acc: acc["states"])
+        each = lambda at: F.flatten(F.transform(blocks, lambda b, i: F.aggregate(b, grown(F.get(at, i)), inside, lambda acc: acc["states"])))
+        return bound(starts, each)
+
+    return bound(in_blocks(values), states)
+
+
 def matches(text: Column, pattern: str, groups: dict[str, int]) -> Column:
     """Array of struct(pos, <groups...>) for every match of ``pattern``.
 

@@ -13,6 +13,9 @@ from lexlake.functions import text as T
 
 CUT = T.SENTINEL
 DROPPED_TAGS = ("nav", "footer", "script", "style", "aside")
+# What is taken out leaves an empty tag, so that the texts around it stay two.
+GAP = "<>"
+RAW_TAGS = ("script", "style")
 ROOTS = ("main", "#wb-main", ".container")
 # The names that end in a semicolon and stand for one character.
 ENTITIES = {name: chr(code) for name, code in sorted(name2codepoint.items())} | {"apos": "'"}
@@ -50,30 +53,82 @@ def _named(text: Column) -> Column:
     return T.bound(pieces, lambda p: F.concat(F.get(p, F.lit(0)), F.array_join(F.transform(F.slice(p, F.lit(2), F.size(p)), decoded), "")))
 
 
-def _without(html: Column, tag: str) -> Column:
-    return F.regexp_replace(html, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
+def _walk(html: Column, tag: str, attribute: str | None, use) -> Column:
+    """``use(pieces, states)`` where the page is cut before every opening and closing
+    ``tag``: the state behind a piece is struct(depth, outside), with the depth of open
+    elements of that tag and the depth outside of the marked one that the piece is in, or
+    -1.  Marked are elements whose opening tag has ``attribute``, or all.  A closing tag
+    without an element closes nothing; an element that nothing closes ends with the page."""
+    opens = rf"(?is)^<{tag}\b[^>]*" + (attribute or "") + r"[^>]*>"
 
+    def kind(piece: Column) -> Column:
+        return F.when(piece.rlike(opens), 3).when(piece.rlike(rf"(?i)^<{tag}\b"), 1).when(piece.rlike(rf"(?i)^</{tag}\b"), 2).otherwise(0)
 
-def strip_boilerplate(html: Column) -> Column:
-    """Comments, scripts, navigation and breadcrumbs out."""
-    out = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    for tag in DROPPED_TAGS:
-        out = _without(out, tag)
-    for tag in ("div", "ol"):
-        crumbs = rf"(?is)<{tag}\b[^>]*\bclass\s*=\s*[\"'][^\"'>]*\bbreadcrumb\b[^>]*>.*?</{tag}\s*>"
-        out = F.regexp_replace(out, crumbs, "")
+    def step(state: Column, kind: Column) -> Column:
+        depth = F.when(kind == 2, F.greatest(state["depth"] - 1, F.lit(0))).when(kind == 0, state["depth"]).otherwise(state["depth"] + 1)
+        entered = F.when((state["outside"] < 0) & (kind == 3), state["depth"]).otherwise(state["outside"])
+        return F.struct(depth.alias("depth"), F.when((kind == 2) & (depth <= entered), F.lit(-1)).otherwise(entered).alias("outside"))
+
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(-1).alias("outside"))
+
+    def walked(pieces: Column) -> Column:
+        return T.bound(T.scan(F.transform(pieces, kind), zero, step), lambda states: use(pieces, states))
+
+    return T.bound(F.split(html, rf"(?i)(?=</?{tag}\b)"), walked)
+
+
+def _without(html: Column, tag: str, attribute: str | None = None) -> Column:
+    """The page without the marked elements, whatever is nested in them."""
+
+    def kept(pieces: Column, states: Column) -> Column:
+        rest = F.transform(pieces, lambda p, i: F.when(F.get(states, i)["outside"] < 0, F.regexp_replace(p, rf"(?is)^</{tag}\b[^>]*>", "")).otherwise(F.lit(GAP)))
+        return F.array_join(rest, "")
+
+    return F.when(html.rlike(rf"(?is)<{tag}\b[^>]*" + (attribute or "")), _walk(html, tag, attribute, kept)).otherwise(html)
+
+
+BREADCRUMB = r"\bclass\s*=\s*[\"'][^\"'>]*\bbreadcrumb\b"
+
+
+def _quiet(html: Column) -> Column:
+    """Comments and what is no markup, scripts and styles, out."""
+    out = F.regexp_replace(html, r"(?s)<!--.*?-->", GAP)
+    for tag in RAW_TAGS:
+        out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", GAP)
     return out
 
 
+def strip_boilerplate(pages: DataFrame, column: str) -> DataFrame:
+    """Navigation and breadcrumbs out of a column of markup; an element ends where it
+    does, not at the first closing tag of its name.  A column for each kind keeps the
+    expressions flat."""
+    for tag, attribute in [*((t, None) for t in DROPPED_TAGS), ("div", BREADCRUMB), ("ol", BREADCRUMB)]:
+        if tag not in RAW_TAGS:
+            pages = pages.withColumn(column, _without(F.col(column), tag, attribute))
+    return pages
+
+
 def _root(html: Column, root: str) -> Column:
-    """Inside of the first element of kind ``root`` up to its last closing tag."""
+    """Inside of the first element of kind ``root``."""
+    tag, attribute = ("div", None) if root[0] in "#." else (root, None)
     if root.startswith("#"):
-        p = rf"(?is)<div\b[^>]*\bid\s*=\s*[\"']{root[1:]}[\"'][^>]*>(.*)</div\s*>"
+        attribute = rf"\bid\s*=\s*[\"']{root[1:]}[\"']"
     elif root.startswith("."):
-        p = rf"(?is)<div\b[^>]*\bclass\s*=\s*[\"'][^\"'>]*\b{root[1:]}\b[^>]*>(.*)</div\s*>"
-    else:
-        p = rf"(?is)<{root}\b[^>]*>(.*)</{root}\s*>"
-    return F.when(html.rlike(p), F.regexp_extract(html, p, 1))
+        attribute = rf"\bclass\s*=\s*[\"'][^\"'>]*\b{root[1:]}\b"
+
+    def first(pieces: Column, states: Column) -> Column:
+        outside = F.transform(states, lambda s: s["outside"] < 0)
+        start = F.array_position(outside, F.lit(False)).cast("int")
+
+        def cut(after: Column) -> Column:
+            length = F.array_position(after, F.lit(True)).cast("int")
+            inside = F.slice(pieces, start, F.when(length > 0, length - 1).otherwise(F.size(pieces)))
+            return F.regexp_replace(F.array_join(inside, ""), r"(?s)^<[^>]*>", "")
+
+        return T.bound(F.slice(outside, start, F.size(pieces)), cut)
+
+    present = html.rlike(rf"(?is)<{tag}\b[^>]*" + (attribute or "") + r"[^>]*>")
+    return F.when(present, _walk(html, tag, attribute, first))
 
 
 def text_nodes(html: Column) -> Column:
@@ -92,9 +147,10 @@ def title_of(html: Column, id_required: bool = True) -> Column:
 
 def main_content(pages: DataFrame, roots: tuple[str, ...] = ROOTS, id_required: bool = True) -> DataFrame:
     """pages(page_id, url, html) -> page_id, url, title, text, is_whole_page."""
-    body = F.coalesce(*[_root(F.col("html"), r) for r in roots])
-    rows = pages.withColumns({"_title": title_of(F.col("html"), id_required), "_body": body})
-    text = F.array_join(text_nodes(strip_boilerplate(F.col("_body"))), "\n")
+    rows = pages.withColumns({"_title": title_of(F.col("html"), id_required), "_quiet": _quiet(F.col("html"))})
+    rows = rows.withColumn("_body", F.coalesce(*[_root(F.col("_quiet"), r) for r in roots]))
+    rows = strip_boilerplate(rows, "_body")
+    text = F.array_join(text_nodes(F.col("_body")), "\n")
     return rows.select(
         "page_id", "url", F.col("_title").alias("title"),
         F.coalesce(text, F.lit("")).alias("text"), F.col("_body").isNull().alias("root_missing"),
