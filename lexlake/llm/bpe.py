@@ -6,6 +6,10 @@ for each word the leftmost pair of minimum rank and contracts it, until no word
 pair left.  Decoding: the ids join the vocabulary, and an ordered aggregation puts the
 bytes of a text together.  No shuffle; a task keeps what it knows about at most some
 hundred thousand words, and a block of texts.
+
+A recursion keeps all its rounds, so a query takes as many words as keep the sum of
+their squared lengths small; the few words that are longer than that allows are
+contracted by a heap, and DuckDB never writes to the worker's disk.
 """
 
 from __future__ import annotations
@@ -23,7 +27,10 @@ from lexlake.llm import flat
 
 #: Words of more bytes contract all places of the minimum pair in one round.
 LONG = 64
-AT_ONCE = 50_000
+#: Words of more bytes are contracted by a heap instead.
+LONGEST = 1024
+#: Words, and their squared lengths summed up, that one query takes: what bounds its memory.
+AT_ONCE, SQUARES = 50_000, 1 << 24
 
 _ONE = """
 WITH RECURSIVE s AS (
@@ -68,9 +75,10 @@ class Bpe:
         import duckdb
 
         self.con = duckdb.connect()
-        self.con.execute("SET threads = 1; SET memory_limit = '600MB'")
+        self.con.execute("SET threads = 1; SET memory_limit = '600MB'; SET temp_directory = ''")
         merges = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         a = np.array(merges, np.int32).reshape(-1, 3)
+        self.pairs = {left << 32 | right: (made, made) for left, right, made in merges}
         self._table("merges", {"a": a[:, 0], "b": a[:, 1], "c": a[:, 2]})
         self._table("vocabulary", {"id": np.array(list(ranks.values()), np.int32), "h": [t.hex() for t in ranks]})
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
@@ -86,12 +94,20 @@ class Bpe:
         size = np.fromiter(map(len, data), np.int64, len(data))
         ids: list[np.ndarray] = []
         of: list[np.ndarray] = []
-        for which, query in ((np.flatnonzero(size <= LONG), _ONE), (np.flatnonzero(size > LONG), _ALL)):
-            for k in range(0, len(which), AT_ONCE):
-                part = which[k : k + AT_ONCE]
+        for which, query in ((np.flatnonzero(size <= LONG), _ONE), (np.flatnonzero((size > LONG) & (size <= LONGEST)), _ALL)):
+            squares = np.cumsum(size[which] ** 2)
+            k = 0
+            while k < len(which):
+                most = int(np.searchsorted(squares, (squares[k - 1] if k else 0) + SQUARES, "right"))
+                part = which[k : max(k + 1, min(k + AT_ONCE, most))]
                 w, t = self._merged([data[x] for x in part], query)
                 ids.append(t)
                 of.append(part[w])
+                k += len(part)
+        for x in np.flatnonzero(size > LONGEST).tolist():
+            left = flat.merged(self.byte[np.frombuffer(data[x], np.uint8)].tolist(), self.pairs)
+            ids.append(np.array(left, np.int32))
+            of.append(np.full(len(left), x))
         if not ids:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         word, token = np.concatenate(of), np.concatenate(ids)

@@ -1,18 +1,21 @@
 """Texts as flat numpy arrays inside a task: words and pre-tokens with 64-bit names.
 
 Several texts are laid behind each other as code points.  A word or pre-token is a
-stretch ``[start, end)`` and a *name*, a 64-bit hash of its code points.  Work is done
+stretch ``[start, end)`` and a *name*, a 64-bit hash of its code points; what a task
+keeps about words (``Known``) goes by the words themselves.  Work is done
 in blocks of about ``BLOCK`` code points, and a longer text is cut between two words,
 so that memory does not grow with the longest text.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 BLOCK = 1 << 20
 SPACE, LETTER, NUMBER, OTHER, END = range(5)
@@ -29,9 +32,7 @@ def _tables() -> dict[str, np.ndarray]:
     if "value" not in _made:
         rng = np.random.Generator(np.random.PCG64(20240229))
         _made["value"] = rng.integers(1, 1 << 63, 0x110000, dtype=np.uint64)
-        n = BLOCK + 4096
-        _made["up"] = powers(_ODD, n)
-        _made["down"] = powers(pow(_ODD, -1, 1 << 64), n)
+        _made["place"] = _places(BLOCK + 4096)
     return _made
 
 
@@ -42,6 +43,11 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+def _places(n: int) -> np.ndarray:
+    """A value for each place inside a word."""
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_ODD))
+
+
 def classes() -> np.ndarray:
     """The class of every code point, for the pattern of the byte-level tokenizers."""
     if "class" not in _made:
@@ -103,13 +109,23 @@ def laid_out(held: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def names(cps: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each stretch, equal for equal code points wherever it lies."""
+    """A 64-bit name of each stretch, equal for equal code points wherever it lies.
+
+    The sum of one hash for each (code point, place in the stretch): no pattern of two
+    letters cancels out, as it would in a polynomial of the code points."""
     t = _tables()
     n = len(cps)
-    up, down = (t["up"], t["down"]) if n <= len(t["up"]) else (powers(_ODD, n + 1), powers(pow(_ODD, -1, 1 << 64), n + 1))
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    first = np.zeros(n, np.int64)
+    first[start] = np.diff(start, prepend=0)
+    at = np.arange(n) - np.cumsum(first)
+    place = t["place"] if n <= len(t["place"]) else _places(n)
+    h = (t["value"][cps] ^ place[at]) * np.uint64(_ODD)
+    h ^= h >> np.uint64(29)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(t["value"][cps] * up[:n], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    np.cumsum(h, out=total[1:])
+    return mix(total[end] - total[start] + (end - start).astype(np.uint64))
 
 
 def words(cps: np.ndarray, fill: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,41 +186,68 @@ def strings(cps: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[str]:
     return [cps[a:b].tobytes().decode("utf-32-le", "surrogatepass") for a, b in zip(start.tolist(), end.tolist(), strict=True)]
 
 
+def merged(symbols: list[int], pairs: dict[int, tuple[int, int]]) -> list[int]:
+    """What is left of one long word when its leftmost pair of least rank is contracted
+    until there is none: ``pairs`` gives rank and new symbol of ``left << 32 | right``.
+    A heap of the pairs over a linked list, so that time is n log n."""
+    n = len(symbols)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(pairs[k][0], i, k) for i in range(n - 1) if (k := symbols[i] << 32 | symbols[i + 1]) in pairs]
+    heapq.heapify(heap)
+    symbols = [*symbols]
+    while heap:
+        _, i, key = heapq.heappop(heap)
+        j = after[i]
+        # a pair that is not there any more is passed over
+        if symbols[i] < 0 or j >= n or symbols[i] << 32 | symbols[j] != key:
+            continue
+        symbols[i], symbols[j] = pairs[key][1], -1
+        after[i] = after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        for left in (before[i], i):
+            right = after[left] if left >= 0 else n
+            if right < n and (k := symbols[left] << 32 | symbols[right]) in pairs:
+                heapq.heappush(heap, (pairs[k][0], left, k))
+    return [s for s in symbols if s >= 0]
+
+
 class Known:
-    """What a task has worked out for the words it met: a few numbers for each name.
-    Beyond ``most`` names it starts anew, so that its memory is bounded."""
+    """What a task has worked out for the words it met: a few numbers for each.  Words are
+    known as what they are, not by a hash.  Beyond ``most`` words or ``letters`` code
+    points it starts anew, so that its memory is bounded."""
 
-    def __init__(self, encode, most: int = 600_000):
+    def __init__(self, encode, most: int = 400_000, letters: int = 1 << 23):
         """encode(words) -> (numbers of all words behind each other, how many each has)."""
         self.encode = encode
-        self.most = most
+        self.most, self.letters = most, letters
         self.clear()
 
     def clear(self) -> None:
-        self.name = np.zeros(0, np.uint64)
-        self.row = np.zeros(0, np.int64)
+        self.row: dict[bytes, int] = {}
+        self.held = 0
         self.values = np.zeros(0, np.int32)
         self.first = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
 
     def rows(self, cps: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The row of each stretch; row r has ``values[first[r]:first[r]+count[r]]``."""
-        found, one, back = np.unique(names(cps, start, end), return_index=True, return_inverse=True)
-        if len(self.name) > self.most:
+        if len(self.row) > self.most or self.held > self.letters:
             self.clear()
-        at = np.searchsorted(self.name, found)
-        old = np.zeros(len(found), bool)
-        inside = at < len(self.name)
-        old[inside] = self.name[at[inside]] == found[inside]
-        row = np.zeros(len(found), np.int64)
-        row[old] = self.row[at[old]]
-        new = np.flatnonzero(~old)
+        size = end - start
+        edges = np.append(0, np.cumsum(size)).astype(np.int64) * 4
+        laid = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(cps[ragged(start, size)]))])
+        coded = laid.dictionary_encode()
+        found = coded.dictionary.to_pylist()
+        row = np.fromiter((self.row.get(w, -1) for w in found), np.int64, len(found))
+        new = np.flatnonzero(row < 0)
         if len(new):
-            values, count = self.encode(strings(cps, start[one[new]], end[one[new]]))
+            fresh = [found[i] for i in new.tolist()]
+            values, count = self.encode([w.decode("utf-32-le", "surrogatepass") for w in fresh])
             row[new] = len(self.count) + np.arange(len(new))
             self.first = np.concatenate([self.first, len(self.values) + np.cumsum(count) - count])
             self.count = np.concatenate([self.count, count])
             self.values = np.concatenate([self.values, values])
-            self.name = np.insert(self.name, at[new], found[new])
-            self.row = np.insert(self.row, at[new], row[new])
-        return row[back]
+            self.row.update(zip(fresh, row[new].tolist(), strict=True))
+            self.held += sum(map(len, fresh)) // 4
+        return row[coded.indices.to_numpy(zero_copy_only=False)]

@@ -244,8 +244,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     its least key.
 
     Texts without words and rows with a null key stand alone; a null key has a null
-    class.  Rows with one key and several texts are one document.  An empty table gives
-    no rows.
+    class.  Of rows with one key and several texts each has the class of its own text.
+    An empty table gives no rows.
     """
     node = T.StructField("node", docs.schema[key].dataType)
     texts = docs.select(F.col(key).alias("node"), F.col(text).alias("__text"))

@@ -232,16 +232,17 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", window: i
     null where none is removed and the text may stay as it is.
 
     Null, empty and shorter texts have no windows.  Rows with a null key are not
-    compared: they keep all words and take none from others.  Equal rows are not
-    smaller than each other.  An empty table gives no rows.
+    compared: they keep all words and take none from others.  Rows go by key and text:
+    those that share a key are not smaller than each other, and each keeps what its own
+    text leaves.  An empty table gives no rows.
     """
-    node = T.StructField("node", docs.schema[key].dataType)
-    texts = docs.select(F.col(key).alias("node"), F.col(text).alias("__text"))
+    node = T.StructField("node", T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("text", T.LongType())]))
+    texts = docs.select(F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("text")).alias("node"), F.col(text).alias("__text"))
     longs, ints = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType())
     survey = stored(texts.mapInArrow(_survey(window), T.StructType([
         node, T.StructField("n_words", T.LongType()), T.StructField("whole", T.StringType()), T.StructField("anchors", longs),
         T.StructField("regions", longs), T.StructField("firsts", ints), T.StructField("counts", ints)])), "survey")
-    usable = survey.filter("node IS NOT NULL")
+    usable = survey.filter("node.key IS NOT NULL")
 
     each = usable.select("node", F.explode(F.array_distinct("anchors")).alias("anchor"))
     # written first, here and below: a join next to its own aggregation cannot be split,
@@ -257,24 +258,24 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", window: i
     several = regions.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", F.lit(True).alias("several"))
     regions = stored(regions.join(several, "anchor", "left"), "regions")
     judged = stored(places.join(regions, ["anchor", "region"]).select(
-        "node", "first", "count", (F.col("node") > F.col("least")).alias("gone"), F.coalesce("several", F.lit(False)).alias("open")), "judged")
+        "node", "first", "count", (F.col("node.key") > F.col("least.key")).alias("gone"), F.coalesce("several", F.lit(False)).alias("open")), "judged")
     gone = judged.filter("gone").select("node", "first", "count")
     open_ = judged.filter("NOT gone AND open")
 
     # what differs somewhere is compared window by window
     wanted = judged.filter("gone OR open").select("node").distinct()
-    held = stored(texts.filter("node IS NOT NULL").join(wanted, "node", "left_semi"), "texts")
+    held = stored(texts.filter("node.key IS NOT NULL").join(wanted, "node", "left_semi"), "texts")
     ranges = lambda df: df.groupBy("node").agg(F.collect_list(F.struct("first", "count")).alias("r")).select(
         "node", F.col("r.first").alias("firsts"), F.col("r.count").alias("counts"))
     windows = stored(held.join(ranges(open_), "node").mapInArrow(_windows(window), T.StructType([
         node, T.StructField("at", T.IntegerType()), T.StructField("v", T.LongType()), T.StructField("w", T.LongType())])), "windows")
     least = stored(windows.groupBy("v", "w").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high"), "least")
-    single = windows.join(least, ["v", "w"]).filter("node > low").select("node", F.col("at").alias("first"), F.lit(1).alias("count"))
+    single = windows.join(least, ["v", "w"]).filter("node.key > low.key").select("node", F.col("at").alias("first"), F.lit(1).alias("count"))
 
     cleaned = held.join(ranges(gone.union(single)), "node").mapInArrow(_cleaned(window), T.StructType([
         node, T.StructField("n_removed", T.LongType()), T.StructField("hash", T.StringType()), T.StructField("kept", T.StringType())]))
     if not kept_text:
         cleaned = cleaned.drop("kept")
     out = survey.select("node", "n_words", "whole").join(cleaned.dropDuplicates(["node", "hash"]), "node", "left")
-    return out.select(F.col("node").alias(key), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
+    return out.select(F.col("node.key").alias(key), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
                       F.coalesce("hash", "whole").alias("kept_sha256"), *(["kept"] if kept_text else []))

@@ -1,8 +1,8 @@
 """Secrets in texts, judged by who else has them: DataFrame operations only.
 
 One scan finds candidate spans.  Their values are hashed and counted over the corpus by
-distinct repositories and owners: a value that several owners carry is an example that
-was copied around, a value of one owner that looks random is live.  Counting goes over
+distinct repositories and owners: a value that several owners or very many repositories
+carry is an example that was copied around, one of few that looks random is live.  Counting goes over
 (value, owner) pairs first, so that neither a widely copied value nor an owner of a
 third of all rows meets in one task, and only rows with candidates are shuffled.
 """
@@ -23,7 +23,7 @@ BASE = [
 #: Kinds that the method adds where a value belongs to few owners and looks random.
 ADDED = [
     ("bearer", r"((?i:bearer))\x20+([A-Za-z0-9+/_.=-]{20,})", 2, 20),
-    ("url", r"([A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s/:@]{1,64}):([^\s/:@]{8,64})@", 2, 8),
+    ("url", r"([A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s/:@]+):([^\s/:@]{8,})@", 2, 8),
     ("bare", r"((?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,}(?![A-Za-z0-9+/_=-]))", 1, 24),
 ]
 KINDS = [k for k, *_ in BASE + ADDED]
@@ -52,13 +52,19 @@ def _matches(text: Column, kind: int, pattern: str, group: int, least: int) -> C
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(_SPAN))
 
 
-def random_looking(value: Column) -> Column:
-    """Letters and digits mixed, and many different ones: not a word or a path."""
+def random_looking(value: Column, digit: Column | bool = True) -> Column:
+    """Letters and (where ``digit`` is true) digits mixed, and many different ones: not a
+    word or a path."""
     distinct = F.size(F.array_distinct(F.split(value, "")))
-    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+    mixed = (value.rlike("[0-9]") | (~digit if isinstance(digit, Column) else F.lit(not digit))) & value.rlike("[A-Za-z]")
     return mixed & (distinct >= 8) & ~value.rlike(r"(.)\1{5}")
 
 
+def identity(key: str, text: str) -> Column:
+    """What rows of equal key and text have in common, and no others."""
+    return F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.coalesce(F.col(text), F.lit(""))), 256)
+
+
 def candidates(df: DataFrame, text: str = "text") -> DataFrame:
     """All rows with ``_spans``: candidate spans by start, then kind.  Offsets are code
     points, the end is exclusive; a null or empty text has none."""
@@ -82,29 +88,32 @@ def ownership(found: DataFrame, repository: str, owner: str) -> DataFrame:
 
 
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text", repository: str | None = None, owner: str = "source",
-         owners: int = 3) -> DataFrame:
-    """(key, spans) of every row: spans as array of (start, kind, end, repositories,
-    owners, verdict) by start, then kind.
-
-    The verdict is ``live`` for a value of at most ``owners`` owners that looks random,
-    ``example`` for a value of more owners, and ``weak`` else.  Base kinds are kept
-    whatever the verdict, added ones only where they are live.  The key must tell rows
-    apart; rows with a null key or without candidates have no spans shuffled, and a
-    null key has no verdict but ``weak``.
+         owners: int = 3, repositories: int = 50) -> DataFrame:
+    """(key, spans, row_id) of every row: spans as array of (start, kind, end,
+    repositories, owners, verdict) by start, then kind; row_id is ``identity``.
+
+    A value of more than ``owners`` owners or ``repositories`` repositories was copied
+    around: its verdict is ``example``.  Of the others those that look random are
+    ``live``, the rest ``weak``; keys that start with AKIA need no digit for that.  Base
+    kinds are kept whatever the verdict, added ones only where they are live.
+
+    Rows go by key and text: those that share a key but not the text, or have no key,
+    have spans of their own.  Only rows with candidates are shuffled.
     """
     found = stored(candidates(df, text).select(
-        F.col(key).alias("_key"), F.col(repository or key).alias("_repository"), F.col(owner).alias("_owner"), "_spans"), "secrets")
+        F.col(key).alias("_key"), identity(key, text).alias("_id"), F.col(repository or key).alias("_repository"), F.col(owner).alias("_owner"), "_spans"), "secrets")
     counts = ownership(found.filter(F.size("_spans") > 0), "_repository", "_owner")
-    each = found.filter((F.size("_spans") > 0) & F.col("_key").isNotNull()).select("_key", F.explode("_spans").alias("s"))
+    each = found.filter(F.size("_spans") > 0).select("_id", F.explode("_spans").alias("s"))
     each = each.withColumn("_value", F.sha2(F.col("s.value"), 256)).join(counts, "_value")
-    live = (F.col("owners") <= owners) & random_looking(F.col("s.value"))
-    verdict = F.when(live, "live").when(F.col("owners") > owners, "example").otherwise("weak")
+    spread = (F.col("owners") > owners) | (F.col("repositories") > repositories)
+    live = ~spread & random_looking(F.col("s.value"), F.col("s.kind") != KINDS.index("access"))
+    verdict = F.when(live, "live").when(spread, "example").otherwise("weak")
     each = each.withColumn("verdict", verdict).filter((F.col("s.kind") < len(BASE)) | (F.col("verdict") == "live"))
     span = F.struct(F.col("s.start").alias("start"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"), "repositories", "owners", "verdict")
-    # a key of several rows keeps each span once
-    judged = each.groupBy("_key").agg(F.array_sort(F.collect_set(span)).alias("spans"))
-    out = found.select("_key").join(judged, "_key", "left")
-    return out.select(F.col("_key").alias(key), F.coalesce("spans", F.array().cast(judged.schema["spans"].dataType)).alias("spans"))
+    # equal rows have equal spans
+    judged = each.groupBy("_id").agg(F.array_sort(F.collect_set(span)).alias("spans"))
+    out = found.select("_key", "_id").join(judged, "_id", "left")
+    return out.select(F.col("_key").alias(key), F.coalesce("spans", F.array().cast(judged.schema["spans"].dataType)).alias("spans"), F.col("_id").alias("row_id"))
 
 
 def written(spans: Column) -> Column:
@@ -115,8 +124,9 @@ def written(spans: Column) -> Column:
 
 def redact(df: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text", verdict: str = "live", by: str = "[SECRET]") -> DataFrame:
     """``df`` with every live span of its texts replaced; spans that overlap become one.
-    Texts without one are not touched."""
-    live = spans.select(F.col(key).alias("__secret_key"), F.filter("spans", lambda s: s["verdict"] == verdict).alias("__live_spans")).filter(F.size("__live_spans") > 0)
+    Texts without one are not touched, and every row stays one row: spans belong to
+    rows by key and text."""
+    live = spans.select(F.col("row_id").alias("__row_id"), F.filter("spans", lambda s: s["verdict"] == verdict).alias("__live_spans")).filter(F.size("__live_spans") > 0).dropDuplicates(["__row_id"])
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(state: Column, s: Column) -> Column:
@@ -126,5 +136,5 @@ def redact(df: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "te
                         F.greatest(state["at"], s["end"]).alias("at"))
 
     whole = F.aggregate("__live_spans", start, step, lambda s: F.concat(s["out"], F.substring(F.col(text), s["at"] + 1, 1 << 30)))
-    joined = df.join(live, F.col(key) == F.col("__secret_key"), "left")
+    joined = df.join(live, identity(key, text) == F.col("__row_id"), "left")
     return joined.withColumn(text, F.when(F.col("__live_spans").isNull(), F.col(text)).otherwise(whole)).select(*df.columns)

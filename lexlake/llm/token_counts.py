@@ -7,7 +7,9 @@ per task, texts only add up the counts.  The work is narrow: no shuffle, and mem
 depends on the block, not on the longest text.
 
 Applying a pair at all its places at once equals one merge after the other, as a pair
-that contains a new symbol always has a higher rank than the symbol itself.
+that contains a new symbol always has a higher rank than the symbol itself.  A round goes
+over all of a word, so the few words of more than ``LONGEST`` bytes, which have very many
+ranks, take one pair after the other from a heap.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import types as T
 from lexlake.llm import flat
 
 NONE = np.iinfo(np.int64).max
+LONGEST = 1024
 
 
 def byte_letters() -> list[str]:
@@ -53,8 +56,13 @@ def survivors(words: list[str], model: dict) -> np.ndarray:
     """How many symbols of each word are left when no pair can be merged."""
     data = [w.encode("utf-8", "surrogatepass") for w in words]
     left = np.fromiter(map(len, data), np.int64, len(data))
+    for i in np.flatnonzero(left > LONGEST).tolist():
+        if "pairs" not in model:
+            model["pairs"] = dict(zip(model["key"].tolist(), zip(model["rank"].tolist(), model["made"].tolist(), strict=True), strict=True))
+        left[i] = len(flat.merged(model["byte"][np.frombuffer(data[i], np.uint8)].tolist(), model["pairs"]))
+        data[i] = b""
     symbol = model["byte"][np.frombuffer(b"".join(data), np.uint8)]
-    word = np.repeat(np.arange(len(data)), left)
+    word = np.repeat(np.arange(len(data)), np.fromiter(map(len, data), np.int64, len(data)))
     while len(symbol):
         key = (symbol[:-1] << 32) | symbol[1:]
         at = np.minimum(np.searchsorted(model["key"], key), len(model["key"]) - 1)
