@@ -36,8 +36,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the least doc_id of every class of near-duplicates."""
-    return without(docs, neardup.classes(docs).filter("doc_id <> class_id"))
+    """Keeps the document of the least doc_id of every class of near-duplicates, and of
+    rows that are equal in doc_id and text one."""
+    kept = without(docs, neardup.classes(docs).filter("doc_id <> class_id"))
+    several = stored(docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "several")
+    if several.isEmpty():
+        return kept
+    return kept.join(several, "doc_id", "left_anti").union(kept.join(several, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
