@@ -11,6 +11,7 @@ from checks.registry import query
 from lexlake.functions import rules as R
 from lexlake.operators import bronze as B
 from lexlake.operators import language as L
+from lexlake.operators import profiles as P
 
 TOKENS = "string_split_regex({0}, '[^\\p{{L}}\\p{{N}}_]+')"
 
@@ -211,3 +212,22 @@ def b16(spark, sf):
  {' OR '.join(f"contains(lower(text), '{w}')" for w in R.FRENCH_RESIDUE)} AS hit FROM documents)""")
 def q22(spark, sf):
     return L.french_residue(docs(spark, sf).withColumnRenamed("text", "body"))
+
+
+# Profiles learnt from the labels of all documents, then asked about all of them again.
+add_duck("gram_fx", r"""SELECT doc_id, lang, t[i:i+2] AS g, count(*) AS n FROM (SELECT doc_id, lang, t, unnest(range(1, length(t) - 1)) AS i FROM (
+ SELECT doc_id, lang, concat(' ', trim(regexp_replace(lower(text), '[^\p{L}]+', ' ', 'g')), ' ') AS t FROM documents)) GROUP BY ALL""")
+add_duck("gram_lang_fx", "SELECT lang, g, sum(n) AS n FROM gram_fx GROUP BY 1, 2", ("gram_fx",))
+add_duck("gram_kept_fx", """SELECT DISTINCT g FROM (SELECT g, row_number() OVER (PARTITION BY lang ORDER BY n DESC, ascii(g) * 4398046511104 + ascii(g[2:2]) * 2097152 + ascii(g[3:3])) AS p
+ FROM gram_lang_fx) WHERE p <= 3000""", ("gram_lang_fx",))
+add_duck("gram_weight_fx", """SELECT g, lang, ln((coalesce(n, 0) + 0.5) / (total + 0.5 * kinds)) AS w FROM gram_kept_fx
+ CROSS JOIN (SELECT lang, sum(n) AS total, count(*) AS kinds FROM gram_lang_fx GROUP BY 1) LEFT JOIN gram_lang_fx USING (g, lang)""", ("gram_kept_fx", "gram_lang_fx"))
+
+
+@query("B7_language_profiles", duck(
+    """SELECT doc_id, d.lang, best AS detected FROM documents d LEFT JOIN (SELECT doc_id, arg_max(l, (s, -rank)) AS best FROM (
+ SELECT f.doc_id, w.lang AS l, sum(f.n * w.w) AS s, dense_rank() OVER (ORDER BY w.lang) AS rank FROM gram_fx f JOIN gram_weight_fx w USING (g) GROUP BY 1, 2) GROUP BY 1) USING (doc_id)""",
+    "gram_fx", "gram_weight_fx"))
+def b7_profiles(spark, sf):
+    docs = texts(spark, sf, "documents").select("doc_id", "text", "lang")
+    return P.detected(docs, P.learn(docs)).select("doc_id", "lang", "detected")
