@@ -122,6 +122,22 @@ def t1_layers(spark, sf):
     return spark.read.parquet(f"{root}/layers/gold").select("section_id", "section_number", F.col("level").cast("long").alias("level"))
 
 
+@query("T1_changed_documents", duck(
+    """SELECT section_id, section_number, CAST(level AS BIGINT) AS level FROM silver_fx WHERE NOT is_toc""", "silver_fx"))
+def t1_changed(spark, sf):
+    """Every third document comes with another text first, every fifth late, and all of them
+    again: the current sections are those of the last texts."""
+    full = view(spark, sf, "corpus_fx").select("doc_id", "document_id", F.col("body_text").alias("text"), "category", "parent_act")
+    root = scratch(spark)
+    old = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("1 OLD TITLE OF THE PART\n"), "text")).otherwise(F.col("text"))
+    full.filter("doc_id % 5 <> 0").withColumn("text", old).drop("doc_id").write.parquet(f"{root}/in/part=1")
+    stream = T.document_stream(spark, f"{root}/in", full.drop("doc_id").schema)
+    T.ingest(stream, f"{root}/layers", f"{root}/state").awaitTermination()
+    full.drop("doc_id").write.parquet(f"{root}/in/part=2")
+    T.ingest(stream, f"{root}/layers", f"{root}/state").awaitTermination()
+    return T.current(spark, f"{root}/layers", "gold").select("section_id", "section_number", F.col("level").cast("long").alias("level"))
+
+
 # --- round trips through stored files --------------------------------------
 
 
