@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from checks.fixtures import duck, table, view
+from checks.fixtures import DUCK, duck, table, view
 from checks.q_classify import gold
 from checks.q_compliance import edges, regulation_ids
 from checks.q_outline import policy_texts
 from checks.registry import query
 from checks.scratch import scratch
+from lexlake.functions import rules as R
 from lexlake.operators import compliance as P
 from lexlake.operators import policy as POL
 from lexlake.plans import build as L
@@ -81,9 +84,39 @@ def corpus(spark, sf):
                                                F.expr("CASE WHEN doc_id % 2 = 0 THEN 'federal' ELSE 'internal' END").alias("jurisdiction"))
 
 
-@query("T0_bronze_to_gold")
+def twin_of_the_plan() -> str:
+    """The SQL of all layers behind each other: cleaning, the language filter of federal
+    bilingual texts, segmentation, labels.  The views of the single operators once more,
+    each over the one before."""
+    from checks import q_bronze as B
+    from checks.q_segment import strip
+
+    clean = strip("regexp_replace(regexp_replace(replace(body_text, '(<>)', ''), '\\n{3,}', chr(10) || chr(10), 'g'), ' +', ' ', 'g')")
+    views = [
+        ("raw_t0", f"SELECT doc_id, document_id, category, parent_act, doc_id % 2 = 0 AS federal, {clean} AS s FROM corpus_fx"),
+        ("gate_t0", f"""SELECT doc_id, federal AND n >= 50 AND (french / n > 0.07 OR markers >= 3) AS mixed FROM (SELECT doc_id, federal, {B.WORDS} AS n,
+ len(list_filter({B.TOKENS.format('s')}, lambda t: t IN {B.in_list(R.FRENCH_INDICATORS)})) AS french, {B.MARKERS} AS markers FROM raw_t0)"""),
+        ("sentences_t0", B.block_sql("s", B.SENTENCES, 1).replace("FROM documents", "FROM raw_t0")),
+        ("judged_t0", DUCK["judged_fx"].replace("sentences_fx", "sentences_t0")),
+        ("filtered_t0", """SELECT document_id, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY pos) FILTER (lang = 'en' OR lang IS NULL), '') AS f FROM judged_t0 GROUP BY 1"""),
+        ("corpus_t0", f"""SELECT * FROM (SELECT doc_id, document_id, category, parent_act, CASE WHEN mixed THEN coalesce(f, '') ELSE s END AS body_text
+ FROM raw_t0 JOIN gate_t0 USING (doc_id) LEFT JOIN filtered_t0 USING (document_id)) WHERE {strip('body_text')} <> ''"""),
+    ]
+    chain = ["marks", "spans", "linked", "split", "silver", "hay", "counts", "scores", "conf", "label", "gold"]
+    names = re.compile(r"\b(corpus|sections|" + "|".join(chain) + r")_fx\b")
+    for name in chain:
+        if name == "hay":
+            views.append(("sections_t0", "SELECT *, NULL AS document_type, NULL AS jurisdiction, NULL AS regulator FROM silver_t0"))
+        views.append((f"{name}_t0", names.sub(r"\1_t0", DUCK[f"{name}_fx"].strip())))
+    heads = ",\n".join(f"{n} AS ({v})" for n, v in views)
+    return f"""{duck("", "corpus_fx").rstrip()},
+{heads}
+SELECT document_id, section_id, label, severity_signal, CAST(len(areas) AS BIGINT) AS areas FROM gold_t0"""
+
+
+@query("T0_bronze_to_gold", twin_of_the_plan())
 def bronze_to_gold(spark, sf):
-    """The whole plan; its parts have their own twins, so this one is rows-only."""
+    """The whole plan."""
     out = L.build(corpus(spark, sf)).gold
     return out.select("document_id", "section_id", "label", "severity_signal", F.size("operational_areas").cast("long").alias("areas"))
 
