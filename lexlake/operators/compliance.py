@@ -118,7 +118,7 @@ def area_coverage(edges: DataFrame) -> DataFrame:
 def regulation_summary(edges: DataFrame, regulations: DataFrame) -> DataFrame:
     """One row per known regulation, zeros without obligations."""
     counted = edges.groupBy("regulation_id").agg(*_status_counts())
-    names = [c.strip() for c in "covered,partial,gaps,total_obligations,orphan_gaps".split(",")]
+    names = ["covered", "partial", "gaps", "total_obligations", "orphan_gaps"]
     out = regulations.join(counted, "regulation_id", "left").na.fill(0, names)
     whole = F.nullif(F.col("total_obligations"), F.lit(0))
     share = T.half_even(F.col("covered").cast("double") / whole, 4)

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
+
+from lexlake.sources.scratch import stored
 
 
 def _stored_keys(df: DataFrame, path: str, keys: list[str]) -> DataFrame | None:
@@ -63,18 +64,16 @@ def gold_metadata(gold: DataFrame, model: str, dimension: int) -> DataFrame:
 
 
 def write_gold(gold: DataFrame, root: str, model: str, dimension: int, mode: str = "append") -> None:
-    """Four tables from one labelling of the given rows; an append touches only
-    what is new.  Blocks lost with an executor are labelled again."""
-    kept = gold.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        labels = gold_labels(kept)
-        ids = ["document_id", "section_id"]
-        _write(kept, f"{root}/gold", mode, keys=ids)
-        _write(labels, f"{root}/gold_labels", mode, None, keys=ids)
-        _write(labels.filter("uncertain"), f"{root}/gold_uncertain", mode, None, keys=ids)
-        _write(gold_metadata(kept, model, dimension), f"{root}/gold_metadata", mode, None, keys=["document_id"])
-    finally:
-        kept.unpersist()
+    """Four tables from one labelling, which is stored first: whatever breaks off
+    after that, the four are written from the same rows, and an append touches only what
+    is new."""
+    kept = stored(gold, "gold")
+    labels = gold_labels(kept)
+    ids = ["document_id", "section_id"]
+    _write(kept, f"{root}/gold", mode, keys=ids)
+    _write(labels, f"{root}/gold_labels", mode, None, keys=ids)
+    _write(labels.filter("uncertain"), f"{root}/gold_uncertain", mode, None, keys=ids)
+    _write(gold_metadata(kept, model, dimension), f"{root}/gold_metadata", mode, None, keys=["document_id"])
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, root: str, mode: str = "overwrite") -> None:

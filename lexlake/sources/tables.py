@@ -17,14 +17,13 @@ CATEGORY_DIRS = {"act": "acts", "regulation": "regulations", "guidance": "guidan
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """A registry file.  JSON lines are read by Spark; a YAML document is
-    decoded on the driver, as a registry is a hand-kept configuration file."""
+    """A registry file, read by Spark wherever it lies.  JSON lines are rows; a YAML
+    document is one row, decoded on the driver, as it is a hand-kept configuration file."""
     if path.endswith((".yaml", ".yml")):
         import yaml
 
-        with open(path, encoding="utf-8") as f:
-            entries = (yaml.safe_load(f) or {}).get("documents", [])
-        return manifest_of(spark, entries)
+        whole = spark.read.text(path, wholetext=True).first()
+        return manifest_of(spark, ((yaml.safe_load(whole[0]) if whole else None) or {}).get("documents", []))
     return spark.read.schema(schemas.ddl(schemas.MANIFEST)).json(path)
 
 
