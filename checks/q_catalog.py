@@ -12,6 +12,7 @@ from checks.registry import query
 from lexlake.functions import rules as R
 from lexlake.operators import catalog as A
 from lexlake.operators import compliance as P
+from lexlake.operators import versions as V
 from lexlake.sources import tables as S
 
 FIXED = ([("total", "sections")] + [("label", v) for v in R.LABELS] + [("severity", v) for v in R.SEVERITIES] + [("area", v) for v in R.AREAS])
@@ -135,6 +136,32 @@ def a12(spark, sf):
     return diff(spark, sf)
 
 
+# The next version: some numbers and texts differ, sections are gone, new and elsewhere.
+NEXT = """SELECT document_id, CAST(CASE WHEN ordinal % 11 = 4 THEN ordinal + 7 ELSE ordinal END AS BIGINT) * 2 AS ordinal,
+ concat(section_number, CASE WHEN ordinal % 2 = 0 THEN 'A' ELSE '' END) AS section_number,
+ CASE ordinal % 5 WHEN 0 THEN concat(body, ' as amended by the new act') ELSE body END AS body FROM sections_fx WHERE ordinal % 7 <> 3
+ UNION ALL SELECT document_id, CAST(ordinal * 2 + 1 AS BIGINT), 'new', concat('A new section of the document ', document_id, ' number ', ordinal, ' in force') FROM sections_fx WHERE ordinal % 6 = 2"""
+add_duck("next_fx", NEXT, ("sections_fx",))
+for name, source in (("old", "sections_fx"), ("next", "next_fx")):
+    add_duck(f"{name}_grams_fx", f"""SELECT *, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) ELSE [array_to_string(w, ' ')] END AS g
+ FROM (SELECT document_id, CAST(ordinal AS BIGINT) AS ordinal, section_number, body, list_filter(string_split_regex(lower(body), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS w FROM {source})""", (source,))
+add_duck("near_fx", """SELECT * FROM (SELECT a.document_id, a.ordinal AS o, b.ordinal AS n, len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) AS s
+ FROM old_grams_fx a JOIN next_grams_fx b USING (document_id)) WHERE s >= 0.5""", ("old_grams_fx", "next_grams_fx"))
+add_duck("mutual_fx", """SELECT document_id, o, n FROM (SELECT *, row_number() OVER (PARTITION BY document_id, o ORDER BY s DESC, abs(o - n), n) AS x,
+ row_number() OVER (PARTITION BY document_id, n ORDER BY s DESC, abs(o - n), o) AS y FROM near_fx) WHERE x = 1 AND y = 1""", ("near_fx",))
+
+
+@query("A12_version_alignment", duck(
+    """SELECT coalesce(a.document_id, b.document_id) AS document_id, a.section_number AS old_number, b.section_number AS new_number,
+ CASE WHEN b.ordinal IS NULL THEN 'removed' WHEN a.ordinal IS NULL THEN 'added' WHEN a.body <> b.body THEN 'edited' WHEN a.section_number = b.section_number THEN 'unchanged' ELSE 'renumbered' END AS change
+ FROM (SELECT * FROM old_grams_fx LEFT JOIN mutual_fx m ON m.document_id = old_grams_fx.document_id AND m.o = ordinal) a
+ FULL OUTER JOIN next_grams_fx b ON a.document_id = b.document_id AND a.n = b.ordinal""", "old_grams_fx", "next_grams_fx", "mutual_fx"))
+def a12_alignment(spark, sf):
+    old = view(spark, sf, "sections_fx")
+    new = spark.sql(NEXT.replace("sections_fx", "{s}"), s=old)
+    return V.align(old, new).drop("moved")
+
+
 @query("P24_amendment_impact", duck(
     """SELECT regulation_id AS document_id, count(DISTINCT section_number) AS changed_sections, count(DISTINCT policy_id) AS affected_policies FROM (
  SELECT regulation_id, regulation_section_id AS section_number, concat('p', CAST(substr(regulation_section_id, instr(regulation_section_id, 's') + 1) AS BIGINT) % 4) AS policy_id,
