@@ -15,7 +15,6 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pyarrow as pa
 
 BLOCK = 1 << 20
 SPACE, LETTER, NUMBER, OTHER, END = range(5)
@@ -214,40 +213,74 @@ def merged(symbols: list[int], pairs: dict[int, tuple[int, int]]) -> list[int]:
 
 class Known:
     """What a task has worked out for the words it met: a few numbers for each.  Words are
-    known as what they are, not by a hash.  Beyond ``most`` words or ``letters`` code
-    points it starts anew, so that its memory is bounded."""
+    found by their names and compared with what was found, so that two of one name stay
+    two.  Beyond ``most`` words or ``letters`` code points it starts anew, so that its
+    memory is bounded."""
 
-    def __init__(self, encode, most: int = 400_000, letters: int = 1 << 23):
+    def __init__(self, encode, most: int = 600_000, letters: int = 1 << 23):
         """encode(words) -> (numbers of all words behind each other, how many each has)."""
         self.encode = encode
         self.most, self.letters = most, letters
         self.clear()
 
     def clear(self) -> None:
-        self.row: dict[bytes, int] = {}
-        self.held = 0
+        self.name = np.zeros(0, np.uint64)
+        self.row = np.zeros(0, np.int64)
         self.values = np.zeros(0, np.int32)
         self.first = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
-
-    def rows(self, cps: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The row of each stretch; row r has ``values[first[r]:first[r]+count[r]]``."""
-        if len(self.row) > self.most or self.held > self.letters:
-            self.clear()
+        # the words themselves, and those whose name another word has
+        self.held = np.zeros(1 << 16, np.uint32)
+        self.used = 0
+        self.at = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
+        self.others: dict[bytes, int] = {}
+
+    def _add(self, cps: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        values, count = self.encode(strings(cps, start, end))
+        row = len(self.count) + np.arange(len(start))
+        self.first = np.concatenate([self.first, len(self.values) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.values = np.concatenate([self.values, values])
         size = end - start
-        edges = np.append(0, np.cumsum(size)).astype(np.int64) * 4
-        laid = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(cps[ragged(start, size)]))])
-        coded = laid.dictionary_encode()
-        found = coded.dictionary.to_pylist()
-        row = np.fromiter((self.row.get(w, -1) for w in found), np.int64, len(found))
-        new = np.flatnonzero(row < 0)
+        self.at = np.concatenate([self.at, self.used + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        more = cps[ragged(start, size)]
+        if self.used + len(more) > len(self.held):
+            self.held = np.concatenate([self.held[: self.used], np.zeros(self.used + 2 * len(more), np.uint32)])
+        self.held[self.used : self.used + len(more)] = more
+        self.used += len(more)
+        return row
+
+    def rows(self, cps: np.ndarray, start: np.ndarray, end: np.ndarray, name: np.ndarray | None = None) -> np.ndarray:
+        """The row of each stretch; row r has ``values[first[r]:first[r]+count[r]]``.
+        ``name`` are the names of the stretches, if they are known."""
+        if len(self.count) > self.most or self.used > self.letters:
+            self.clear()
+        if not len(start):
+            return np.zeros(0, np.int64)
+        found, one, back = np.unique(names(cps, start, end) if name is None else name, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.name, found)
+        old = np.zeros(len(found), bool)
+        inside = at < len(self.name)
+        old[inside] = self.name[at[inside]] == found[inside]
+        row = np.zeros(len(found), np.int64)
+        row[old] = self.row[at[old]]
+        new = np.flatnonzero(~old)
         if len(new):
-            fresh = [found[i] for i in new.tolist()]
-            values, count = self.encode([w.decode("utf-32-le", "surrogatepass") for w in fresh])
-            row[new] = len(self.count) + np.arange(len(new))
-            self.first = np.concatenate([self.first, len(self.values) + np.cumsum(count) - count])
-            self.count = np.concatenate([self.count, count])
-            self.values = np.concatenate([self.values, values])
-            self.row.update(zip(fresh, row[new].tolist(), strict=True))
-            self.held += sum(map(len, fresh)) // 4
-        return row[coded.indices.to_numpy(zero_copy_only=False)]
+            row[new] = self._add(cps, start[one[new]], end[one[new]])
+            self.name = np.insert(self.name, at[new], found[new])
+            self.row = np.insert(self.row, at[new], row[new])
+        row = row[back]
+        size = end - start
+        wrong = self.size[row] != size
+        length = np.where(wrong, 0, size)
+        differs = self.held[ragged(self.at[row], length)] != cps[ragged(start, length)]
+        if differs.any():
+            wrong[np.repeat(np.arange(len(row)), length)[differs]] = True
+        for i in np.flatnonzero(wrong).tolist():
+            word = cps[start[i] : end[i]].tobytes()
+            if word not in self.others:
+                self.others[word] = int(self._add(cps, start[i : i + 1], end[i : i + 1])[0])
+            row[i] = self.others[word]
+        return row

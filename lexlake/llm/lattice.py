@@ -46,6 +46,9 @@ class Pieces:
         self.order = np.argsort(np.array(value, np.uint64))
         self.names = np.array(value, np.uint64)[self.order]
         self.log_p = np.append(log_p[self.order], NONE)
+        # most stretches are no piece: the first bits of a name tell, without a search
+        self.starts = np.zeros(1 << 22, bool)
+        self.starts[(self.names >> np.uint64(42)).astype(np.int64)] = True
 
     @staticmethod
     def name(data: np.ndarray) -> int:
@@ -64,8 +67,12 @@ class Pieces:
         at = at[at[:, 1] <= end]
         end, start = at[:, 0], at[:, 0] - at[:, 1]
         name = (total[:, end] - total[:, start]) * down[start]
+        out = np.full(name.shape, len(self.names))
+        maybe = np.nonzero(self.starts[(name >> np.uint64(42)).view(np.int64)])
+        name = name[maybe]
         row = np.minimum(np.searchsorted(self.names, name), len(self.names) - 1)
-        return at, np.where(self.names[row] == name, row, len(self.names))
+        out[maybe] = np.where(self.names[row] == name, row, len(self.names))
+        return at, out
 
     def forward(self, data: np.ndarray, whole: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
         """Log probability of the first e bytes of every word, for all e.  Long words are
@@ -257,10 +264,10 @@ def scores(docs: DataFrame, training: Column, path: str, text: str = "text", key
                 cps, start, end, of = lower_words(held, owners)
                 if not len(start):
                     continue
-                row = known.rows(cps, start, end)
+                word = flat.names(cps, start, end)
+                row = known.rows(cps, start, end, word)
                 tokens += np.bincount(of, minlength=rows)
                 lattice += np.bincount(of, known.values[known.first[row]], rows)
-                word = flat.names(cps, start, end)
                 at = np.minimum(np.searchsorted(names, word), max(len(names) - 1, 0))
                 hit = names[at] == word if len(names) else np.zeros(len(word), bool)
                 met += np.bincount(of[hit], minlength=rows)

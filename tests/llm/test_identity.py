@@ -106,7 +106,7 @@ def test_known_words_start_anew():
         calls.append(len(words))
         return np.array([len(w) for w in words], np.int32), np.ones(len(words), np.int64)
 
-    known = flat.Known(encode, most=5)
+    known = flat.Known(encode, most=4)
     for texts in (["a bb ccc", "dddd a"], ["eeeee ffffff"], ["a a a"]):
         cps, fill = flat.laid_out(texts)
         start, end = flat.words(cps, fill)
@@ -117,6 +117,17 @@ def test_known_words_start_anew():
     assert known.rows(cps, *flat.words(cps, fill)).tolist() == []
 
 
+@pytest.mark.parametrize("same", [lambda size: np.zeros(len(size), np.uint64), lambda size: (size % 3).astype(np.uint64)])
+def test_words_of_one_name_stay_apart(monkeypatch, same):
+    monkeypatch.setattr(flat, "names", lambda cps, start, end: same(end - start))
+    known = flat.Known(lambda words: (np.array([sum(map(ord, w)) for w in words], np.int32), np.ones(len(words), np.int64)))
+    for text in ("a bb a ccc dd a bb", "bb e ccc e zzzz a", "a"):
+        cps, fill = flat.laid_out([text])
+        start, end = flat.words(cps, fill)
+        row = known.rows(cps, start, end)
+        assert known.values[known.first[row]].tolist() == [sum(map(ord, w)) for w in text.split()]
+
+
 # rows that share a key
 
 
