@@ -84,7 +84,19 @@ def _without(html: Column, tag: str, attribute: str | None = None) -> Column:
         rest = F.transform(pieces, lambda p, i: F.when(F.get(states, i)["outside"] < 0, F.regexp_replace(p, rf"(?is)^</{tag}\b[^>]*>", "")).otherwise(F.lit(GAP)))
         return F.array_join(rest, "")
 
-    return F.when(html.rlike(rf"(?is)<{tag}\b[^>]*" + (attribute or "")), _walk(html, tag, attribute, kept)).otherwise(html)
+    present = html.rlike(rf"(?is)<{tag}\b[^>]*" + (attribute or ""))
+    if attribute:
+        return F.when(present, _walk(html, tag, attribute, kept)).otherwise(html)
+    return F.when(~present, html).when(_once(html, tag), F.regexp_replace(html, _element(tag), GAP)).otherwise(_walk(html, tag, attribute, kept))
+
+
+def _once(html: Column, tag: str) -> Column:
+    """Nothing of the tag can be nested: a pattern finds its end."""
+    return F.regexp_count(html, F.lit(rf"(?i)<{tag}\b")) == 1
+
+
+def _element(tag: str, attribute: str | None = None) -> str:
+    return rf"(?is)<{tag}\b[^>]*" + (attribute or "") + rf"[^>]*>(.*?)(?:</{tag}\b[^>]*>|\z)"
 
 
 BREADCRUMB = r"\bclass\s*=\s*[\"'][^\"'>]*\bbreadcrumb\b"
@@ -128,7 +140,8 @@ def _root(html: Column, root: str) -> Column:
         return T.bound(F.slice(outside, start, F.size(pieces)), cut)
 
     present = html.rlike(rf"(?is)<{tag}\b[^>]*" + (attribute or "") + r"[^>]*>")
-    return F.when(present, _walk(html, tag, attribute, first))
+    alone = F.regexp_extract(html, _element(tag, attribute), 1)
+    return F.when(present & _once(html, tag), alone).when(present, _walk(html, tag, attribute, first))
 
 
 def text_nodes(html: Column) -> Column:
