@@ -126,7 +126,9 @@ def redact(df: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "te
     """``df`` with every live span of its texts replaced; spans that overlap become one.
     Texts without one are not touched, and every row stays one row: spans belong to
     rows by key and text."""
-    live = spans.select(F.col("row_id").alias("__row_id"), F.filter("spans", lambda s: s["verdict"] == verdict).alias("__live_spans")).filter(F.size("__live_spans") > 0).dropDuplicates(["__row_id"])
+    live = spans.select(F.col("row_id").alias("__row_id"), F.filter("spans", lambda s: s["verdict"] == verdict).alias("__live_spans")).filter(F.size("__live_spans") > 0)
+    # written first, so that Spark knows how few they are and need not shuffle the texts
+    live = stored(live.dropDuplicates(["__row_id"]), "live")
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(state: Column, s: Column) -> Column:

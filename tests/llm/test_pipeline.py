@@ -46,6 +46,15 @@ def test_every_stage_takes_effect_and_keeps_clean_rows(spark, folder, tmp_path):
     assert ids[1] == ids[0] - {400, 401} and ids[2] == ids[1] - {402} and ids[3] == ids[4] == ids[2]
 
 
+def test_one_of_equal_rows_stays(spark):
+    text = lambda seed: " ".join(f"w{random.Random(seed * 100 + i).randrange(900)}" for i in range(40))
+    rows = [(1, text(1)), (1, text(1)), (1, text(2)), (None, text(3)), (None, text(3)), (2, text(4)), (3, text(4)), (4, None), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    want = [(1, text(1)), (1, text(2)), (None, text(3)), (None, text(3)), (2, text(4)), (4, None)]
+    assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted((str(i), str(t)) for i, t in want)
+
+
 def test_run_is_the_stages(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert out.columns == ["doc_id", "lang", "source", "ids"] and out.count() == 354
