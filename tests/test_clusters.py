@@ -121,3 +121,22 @@ def test_outliers_and_survivors(spark):
         assert {r["section_id"]: round(r["best_score"], 9) for r in X.outliers(rows, strikers=strikers).collect()} == want
     left = X.possible_outliers(rows).count()
     assert left < len(v) / 2
+
+
+def test_copies_of_a_query_go_by_bins_not_by_clusters(spark, monkeypatch):
+    """Without structure a query visits nearly all clusters, but its vector is copied once
+    for each bin of them; what it does not visit in a bin is not compared."""
+    v = np.random.default_rng(6).normal(size=(900, 24))
+    rows = frame(spark, v)
+    held = C.build(rows)
+    seen = []
+    met = C._met
+    monkeypatch.setattr(C, "_met", lambda a, *rest, **more: seen.append(a) or met(a, *rest, **more))
+    asking = frame(spark, np.random.default_rng(7).normal(size=(900, 24)), "q").withColumnRenamed("section_id", "query_id")
+    found, visits = C.nearest(asking, held, 1)
+    assert found.count() == 900
+    asked = visits.select(F.sum(F.size("visits"))).first()[0]
+    copies = C._met(seen[1], held.rows, ["vector", "floor"], lambda a, b: a[["query_id"]].assign(n=a["visits"].map(len)), "query_id string, n long").collect()
+    assert asked > 10 * 900 and len(copies) <= 900
+    place, blocks = C._bins({0: 5, 1: 9000, 2: 8000, 4: 40000, 5: 1}, 6)
+    assert place == [0, 0, 1, 1, 2, 3] and blocks == [1, 1, 3, 1]
