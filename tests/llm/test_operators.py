@@ -325,6 +325,16 @@ def test_search_is_exact(spark, odd, empty, monkeypatch):
     assert ranking.search(empty, empty).collect() == [] and ranking.search(odd, odd.limit(0)).collect() == []
 
 
+def test_search_rows_do_not_grow_with_shards(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "SHARD", 16)
+    made = {}
+    for n in (160, 1280):
+        docs = table(spark, [" ".join(words(20 + i % 30, i, 80)) for i in range(n)])
+        made[n] = ranking.candidates(docs, docs.filter("doc_id < 40")).count()
+    # 10 rows for each of 40 queries and 80 shards would be 32,000
+    assert made[1280] < 3 * made[160] and made[1280] < 40 * 10 * 24
+
+
 # op8
 
 
