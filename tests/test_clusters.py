@@ -140,3 +140,20 @@ def test_copies_of_a_query_go_by_bins_not_by_clusters(spark, monkeypatch):
     assert asked > 10 * 900 and len(copies) <= 900
     place, blocks = C._bins({0: 5, 1: 9000, 2: 8000, 4: 40000, 5: 1}, 6)
     assert place == [0, 0, 1, 1, 2, 3] and blocks == [1, 1, 3, 1]
+
+
+def test_narrow_vectors_fill_larger_bins(spark, monkeypatch):
+    """A bin is bounded by its components, so sections of few components lie in few bins and
+    a query that visits them all is copied less often."""
+    monkeypatch.setattr(C, "BLOCK_ROWS", 64)
+    v, asked = np.random.default_rng(6).normal(size=(900, 24)), np.random.default_rng(7).normal(size=(900, 24))
+    held = C.build(frame(spark, v))
+    made = []
+    bins = C._bins
+    monkeypatch.setattr(C, "_bins", lambda *a, **k: made.append(bins(*a, **k)) or made[-1])
+    found, _ = C.nearest(frame(spark, asked, "q").withColumnRenamed("section_id", "query_id"), held, 1)
+    got = {r["query_id"]: r["section_id"] for r in found.collect()}
+    best = (unit(asked) @ unit(v).T).argmax(1)
+    assert got == {f"q{i:06d}": f"s{j:06d}" for i, j in enumerate(best)}
+    assert len(made[1][1]) == 1
+    assert C.Clusters(held.rows, np.zeros((2, 4096)), held.size, held.near, held.far).most() == 64
