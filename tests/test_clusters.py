@@ -157,3 +157,13 @@ def test_narrow_vectors_fill_larger_bins(spark, monkeypatch):
     assert got == {f"q{i:06d}": f"s{j:06d}" for i, j in enumerate(best)}
     assert len(made[1][1]) == 1
     assert C.Clusters(held.rows, np.zeros((2, 4096)), held.size, held.near, held.far).most() == 64
+
+
+@pytest.mark.parametrize("limit", [0, S.BROADCAST_ROWS])
+def test_scores_next_to_the_edge_of_a_rounding(spark, limit):
+    c = 0.47215 + 5e-11
+    turned = [c, (1 - c * c) ** 0.5]
+    left = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1e-12, 0.0]), ("c", [0.0, 0.0])], "section_id string, vector array<double>")
+    right = spark.createDataFrame([("p", 0, turned)], "section_id string, ordinal long, vector array<double>")
+    best = S.best_match(left, right, "section_id", limit).select("section_id", F.bround("best_score", 4))
+    assert {tuple(r) for r in best.collect()} == {("a", 0.4722), ("b", 0.4722), ("c", 0.0)}
